@@ -2,21 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.llm.decontaminate import contaminated
+from causeway.llm.language import identify
+from causeway.llm.licenses import KNOWN, canonical_sql, scan_licenses
+from causeway.llm.media import media_columns
+from causeway.llm.ngram_join import jaccard_components
+from causeway.llm.packing import pack
 from causeway.llm.substring_dedup import remove_repeats
+from causeway.llm.token_files import read_summary, write_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(of: int) -> Column:
+    """crc32(doc_id as text) mod ``of``."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, size=2048)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, fold(3) != 1)
+    return out.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_summary(*write_files(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op3_license_scan": op3_license_scan,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op7_token_files": op7_token_files,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op10_decontamination": op10_decontamination,
+}
 
-ORACLES: dict[str, str] = {}
+_known = ", ".join("('" + i.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)
+ORACLES = {
+    "op3_license_scan": f"""
+        WITH known AS (SELECT sha256(form) AS canonical_sha256, min(license_id) AS license_id
+                       FROM (SELECT license_id, {canonical_sql('text')} AS form FROM (VALUES {_known}) v(license_id, text)) WHERE form <> '' GROUP BY 1)
+        SELECT doc_id, canonical_sha256, license_id
+        FROM (SELECT doc_id, sha256({canonical_sql('text')}) AS canonical_sha256 FROM documents) LEFT JOIN known USING (canonical_sha256)""",
+}
