@@ -286,7 +286,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, component
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     members = members.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", F.col("least").alias("doc_id"))
     dealt = max(parts, 2 * ((total or 0) // component_cells))
-    rows = docs.join(members, "doc_id").withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(dealt)).cast("int"))
+    # texts are shuffled at every size: members grow with the input, so that they are no side to broadcast
+    rows = docs.join(members.hint("merge"), "doc_id").withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(dealt)).cast("int"))
     product = rows.drop("doc_id").groupBy("task").applyInArrow(lambda t: _product(t.drop(["task"]), n, percent), "a long, b long")
     found = components(settled(product, "product"))
     labels = found.join(classes, "node").select("node", "component", "least")
