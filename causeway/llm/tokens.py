@@ -1,14 +1,16 @@
 """Token ids of whole texts by a public tokenizer file, with one look-up for each word met before.
 
 Both supported pre-tokenizers begin a new piece at single white space between two other
-characters, and no merge crosses a piece, so the ids of a text are those of its chunks one after
-another. Each worker keeps the ids of chunks that the tokenizers library gave; texts with any
-other white space go to the library whole.
+characters, and between a letter or digit and another printing ASCII character than the
+apostrophe; no merge crosses a piece, so the ids of a text are those of its chunks one after
+another. Each worker keeps the ids of chunks that the tokenizers library gave. Where white
+space counts, texts with more of it than single spaces and line breaks go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
@@ -16,77 +18,98 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _loaded: dict[str, Encoder] = {}
 
 
+_OTHER, _LETTER, _SIGN = 0, 1, 2
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _SIGN
+
+
+def _edges(data: np.ndarray) -> np.ndarray:
+    """Where a letter or digit and a sign meet. Of the letters beyond ASCII only U+00C0 to U+00FF count; all else meets nothing."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead], kind[lead + 1] = _LETTER, _LETTER
+    return np.flatnonzero((kind[:-1] | kind[1:]) == (_LETTER | _SIGN)) + 1
+
+
 class Encoder:
-    """Encodes texts with the tokenizer in ``path``; ``most`` chunks are remembered before the memory is begun anew."""
+    """Encodes texts with the tokenizer in ``path``. Beyond ``most`` chunks only those met again are kept."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
         # a word tokenizer drops white space, so that a chunk's ids don't depend on what stands before it
-        self.drops_space = not self._ids([" \n"])[0]
-        self._forget()
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _forget(self) -> None:
-        self.slot: dict = {}
-        self.flat, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, names: list, texts: list[str]) -> None:
-        for name, ids in zip(names, self._ids(texts), strict=True):
-            k = len(self.slot)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            if k == len(self.starts):
-                self.starts, self.lengths = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.lengths, np.zeros_like(self.lengths))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.slot[name] = k
-
-    def _chunks(self, text: str) -> list | None:
-        """Names of the chunks; None if the text must be encoded whole."""
+        self.drops_space = not len(self._whole(" \n"))
+        self.slot: dict[bytes, int] = {}
+        self.flat, self.starts, self.lengths, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _thin(self) -> None:
+        keep = self.met > 1
+        if keep.mean() > 0.5:
+            keep = self.met > np.median(self.met)
+        new = np.cumsum(keep) - 1
+        self.slot = {c: int(new[k]) for c, k in self.slot.items() if keep[k]}
+        n = self.lengths[keep]
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.starts[keep] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts, self.lengths, self.met = ends - n, n, np.zeros(len(n), np.int32)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encodes new chunks as one text; a token belongs to the chunk that its first character lies in."""
+        if self.drops_space:
+            texts = [f"{c.decode()} " for c in chunks]
+        else:
+            texts = [c.decode() if c[0] == 10 else f"\n{c[1:].decode()}" if c[0] == 0 else f" {c.decode()}" for c in chunks]
+        found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *map(len, texts)])
+        first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        n = np.bincount(np.searchsorted(begins, first, "right") - 1, minlength=len(texts))[: len(texts)]
+        starts = len(self.flat) + np.cumsum(n) - n
+        if not self.drops_space:  # a chunk with nothing before it was given a line break, one token
+            bare = np.fromiter((c[0] == 0 for c in chunks), np.int64, len(chunks))
+            starts, n = starts + bare, n - bare
+        self.starts, self.lengths, self.met = np.append(self.starts, starts), np.append(self.lengths, n), np.append(self.met, np.zeros(len(n), np.int32))
+        self.flat = np.append(self.flat, np.array(found.ids, np.uint32))
+        self.slot.update(zip(chunks, range(len(self.slot), len(self.slot) + len(chunks)), strict=True))
+
+    def _chunks(self, text: str) -> list[bytes] | None:
+        """The chunks of a text; None if it must be encoded whole. Where white space counts, 0 begins a chunk with nothing before it, others follow a space or begin with a line break."""
+        data = np.frombuffer(text.encode(), np.uint8)
         if self.drops_space:
-            return text.encode().split()
-        spaced = text.replace("\n", " ")
-        if " ".join(text.split()) != spaced:
+            return np.insert(data, _edges(data), 0x20).tobytes().lower().split()
+        if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text:
             return None
-        chunks = text.replace("\n", " \n").split(" ")
-        chunks[0] = (chunks[0],)  # the first has no space before it
-        return chunks
-
-    def _text(self, name) -> str:
-        if isinstance(name, tuple):
-            return name[0]
-        if isinstance(name, bytes):
-            return name.decode()
-        return name if name.startswith("\n") else f" {name}"
+        data = np.insert(data, np.repeat(_edges(data), 2), 0)
+        spaced = np.flatnonzero(data == 0)[::2]
+        data[spaced] = 0x20
+        return (b"\0" + data.tobytes().replace(b"\n", b" \n")).split(b" ")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has those of an empty one."""
-        out = []
-        for text in texts:
-            chunks = self._chunks(text) if text else []
-            if chunks is None:
-                out.append(np.array(self._ids([text])[0], np.uint32))
-                continue
-            slots = list(map(self.slot.get, chunks))
-            if None in slots:
-                if len(self.slot) > self.most:
-                    self._forget()
-                new = list(dict.fromkeys(c for c in chunks if c not in self.slot))
-                self._learn(new, list(map(self._text, new)))
-                slots = list(map(self.slot.__getitem__, chunks))
-            at = np.array(slots, np.int64)
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        parts = [self._chunks(text) if text else [] for text in texts]
+        chunks = [c for part in parts if part for c in part]
+        if len(self.slot) > self.most:
+            self._thin()
+        at = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(chunks[k] for k in new)))
+            at[new] = np.fromiter((self.slot[chunks[k]] for k in new), np.int64, len(new))
+        if len(at):
+            self.met += np.bincount(at, minlength=len(self.met)).astype(np.int32)
+        starts, n = (self.starts[at], self.lengths[at]) if len(at) else (at, at)
+        sizes = np.array([len(part or ()) for part in parts], np.int64)
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [self._whole(texts[k]) if part is None else ids[cut[k] : cut[k + 1]] for k, part in enumerate(parts)]
 
 
 def encoder(path: str) -> Encoder:
