@@ -2,8 +2,8 @@
 
 A record is the length of its payload (8 bytes, little-endian), the masked CRC-32C of these
 8 bytes, the payload and the masked CRC-32C of the payload: the public TFRecord framing. A
-payload is the document's id (8 bytes), whether it is null (1) and the token ids (4 bytes
-each). The index of a file holds, for each record, its offset, its length, the number of ids
+payload is the document's id (8 bytes), whether it is null (1), the width of an id in bytes (1) and
+the token ids, in 2 bytes each where all of the record's are below 65536, else in 4. The index of a file holds, for each record, its offset, its length, the number of ids
 before it in the file and of its own (8 bytes each), so that readers can fetch any record, in any order.
 
 Documents are dealt by ranges of ids, so that files in order hold ascending ids (null ids first,
@@ -106,8 +106,9 @@ def _write(batches: Iterator[pa.RecordBatch], at: str, path: str, end_id: int) -
                 if out is None:
                     name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
                     out = fs.open_output_stream(f"{top}/{name}.rec")
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                record = frame(struct.pack("<q?", doc_id or 0, doc_id is None) + ids.tobytes())
+                ids = np.append(ids, np.uint32(end_id))
+                width = 2 if ids.max() < 65536 else 4
+                record = frame(struct.pack("<q?B", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes())
                 out.write(record)
                 index.append((offset, len(record), ids_before, len(ids)))
                 offset += len(record)
@@ -142,8 +143,8 @@ def read_records(at: str, name: str, wanted: np.ndarray | None = None) -> Iterat
         for k in range(len(index)) if wanted is None else wanted:
             file.seek(int(index["offset"][k]))
             payload = unframe(file.read(int(index["length"][k])))
-            doc_id, null = struct.unpack_from("<q?", payload)
-            yield int(k), int(index["before"][k]), None if null else doc_id, np.frombuffer(payload, "<u4", offset=9)
+            doc_id, null, width = struct.unpack_from("<q?B", payload)
+            yield int(k), int(index["before"][k]), None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 def _read(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[pa.RecordBatch]:
