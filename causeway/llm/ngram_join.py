@@ -6,8 +6,8 @@ the sizes discard pairs, none of them drops a link:
 
 * Linked sets of sizes a <= b differ in at most K = (a + b)(100 - p) / (100 + p) n-grams. With
   the columns hashed into K + q blocks, linked rows agree in q whole blocks at least. Rows
-  of neighbouring size classes meet only where a whole block has the same n-grams. (Blocks of
-  up to two n-grams say little; a row sends them only if it has q of them or more.)
+  of neighbouring size classes meet only where a whole block has the same n-grams. (Empty blocks and
+  those of one or two n-grams say little; a row sends them only if it has q of them or more.)
 * What meets is one candidate component. Within it, overlaps are accumulated against a centre
   (the n-grams of most rows): overlap(x, y) = |centre| - r(x) - r(y) + common removals + common
   additions, so two rows without a common removal or addition are decided by their sizes alone.
@@ -94,9 +94,12 @@ def block_hashes(grams: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np
     starts = np.append(starts, (starts[-1] - 1) * 100 // percent + 1)
     own = np.searchsorted(starts, np.maximum(sizes, 1), "right") - 1
     rows, found, of = np.repeat(np.arange(len(sizes)), sizes), [], []
+    expected = (100 + percent) / (2 * (100 - percent)) if percent < 100 else np.inf  # n-grams in a block of a large set
     for level in (own, own + 1):
         differ = 2 * (starts[np.minimum(level + 1, len(starts) - 1)] - 1) * (100 - percent) // (100 + percent)
-        spare = np.where(differ >= _MANY * (100 - percent) // (100 + percent), _SPARE, 1)
+        large = differ >= _MANY * (100 - percent) // (100 + percent)
+        few = np.where(large, _FEW if expected >= 8 else int(expected >= 3.5), 0)
+        spare = np.where(large, _SPARE + (0 if expected >= 8 else differ * 15 // 100), 2)
         blocks = np.where((sizes > 0) & (differ > 0), differ + spare, 0)
         base = np.concatenate(([0], np.cumsum(blocks)))
         used = blocks[rows] > 0
@@ -107,10 +110,10 @@ def block_hashes(grams: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np
         row = np.repeat(np.arange(len(sizes)), blocks)
         place = (np.arange(base[-1]) - base[row]).astype(np.uint64)
         h = A.mix(A.mix(A.mix(high * A.C1 + low) + count.astype(np.uint64)) ^ (place << np.uint64(24) | level[row].astype(np.uint64)))
-        few = (count <= _FEW) & (spare[row] > 1)
-        few &= np.bincount(row[few], minlength=len(sizes))[row] < spare[row]
-        found.append(h[~few])
-        of.append(row[~few])
+        little = count <= few[row]
+        little &= np.bincount(row[little], minlength=len(sizes))[row] < spare[row]
+        found.append(h[~little])
+        of.append(row[~little])
     return np.concatenate(found), np.concatenate(of)
 
 
