@@ -29,7 +29,8 @@ from causeway.llm.storage import folder, reader
 from causeway.llm.tokens import encoder
 from causeway.runtime import new_folder, settled
 
-_SPAN = 1024
+_SPAN = 256
+_BATCH = 1024
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("before", "<u8"), ("ids", "<u8")])
 _tables: list[np.ndarray] = []
 
@@ -49,74 +50,92 @@ def _crc_tables() -> list[np.ndarray]:
     return _tables
 
 
-def crc32c(data: bytes | np.ndarray) -> int:
-    """CRC-32C of bytes, a span at a time: the sum is linear, so that bytes contribute by place."""
-    shares, ahead = _crc_tables()
-    data = np.frombuffer(data, np.uint8)
-    head = len(data) % _SPAN
-    crc = 0xFFFFFFFF
-    if head:
-        part = data[:head].copy()
-        crc = _short(part, crc, shares)
-    if len(data) > head:
-        spans = data[head:].reshape(-1, _SPAN)
-        sums = np.bitwise_xor.reduce(shares[np.arange(_SPAN - 1, -1, -1), spans], axis=1).tolist()
-        a, b, c, d = (ahead[k].tolist() for k in range(4))
-        for s in sums:
-            crc = a[crc & 0xFF] ^ b[crc >> 8 & 0xFF] ^ c[crc >> 16 & 0xFF] ^ d[crc >> 24] ^ s
-    return crc ^ 0xFFFFFFFF
+def crc32c(data: bytes) -> int:
+    return crc32c_many([data])[0]
+
 
+def crc32c_many(parts: list[bytes]) -> list[int]:
+    """CRC-32C of each part, many spans at a time: the sum is linear, so that bytes contribute by place.
 
-def _short(part: np.ndarray, crc: int, shares: np.ndarray) -> int:
-    """The sum after fewer bytes than a span."""
-    n = len(part)
-    start = np.frombuffer(struct.pack("<I", crc), np.uint8)
-    part[: min(4, n)] ^= start[:n]
-    out = int(np.bitwise_xor.reduce(shares[np.arange(n - 1, -1, -1), part]))
-    return out ^ crc >> 8 * n if n < 4 else out
+    Leading zeros don't change a sum that begins with 0, so parts are filled up at the front; the
+    usual first value is the same as turning the first four bytes.
+    """
+    shares, ahead = _crc_tables()
+    filled, counts = [], []
+    for part in parts:
+        lead = -len(part) % _SPAN
+        filled += (bytes(lead), (int.from_bytes(part[:4], "little") ^ 0xFFFFFFFF).to_bytes(4, "little")[: len(part)], part[4:])
+        counts.append((lead + len(part)) // _SPAN)
+    data = np.frombuffer(b"".join(filled), np.uint8).reshape(-1, _SPAN)
+    place = np.arange(_SPAN - 1, -1, -1, dtype=np.int32) * 256
+    sums = np.bitwise_xor.reduce(shares.ravel()[data + place], axis=1).tolist()
+    a, b, c, d = (ahead[k].tolist() for k in range(4))
+    out, at = [], 0
+    for part, n in zip(parts, counts, strict=True):
+        crc = 0
+        for s in sums[at : at + n]:
+            crc = a[crc & 0xFF] ^ b[crc >> 8 & 0xFF] ^ c[crc >> 16 & 0xFF] ^ d[crc >> 24] ^ s
+        at += n
+        # of fewer than four bytes the rest of the first value is left, moved down
+        out.append((crc ^ 0xFFFFFFFF >> 8 * len(part) if len(part) < 4 else crc) ^ 0xFFFFFFFF)
+    return out
 
 
 def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def frames(payloads: list[bytes]) -> list[bytes]:
+    heads = [struct.pack("<Q", len(p)) for p in payloads]
+    sums = crc32c_many([*heads, *payloads])
+    of_heads, of_payloads = sums[: len(heads)], sums[len(heads) :]
+    return [b"".join((h, struct.pack("<I", masked(x)), p, struct.pack("<I", masked(y)))) for h, x, p, y in zip(heads, of_heads, payloads, of_payloads, strict=True)]
+
+
 def frame(payload: bytes) -> bytes:
-    head = struct.pack("<Q", len(payload))
-    return b"".join((head, struct.pack("<I", masked(crc32c(head))), payload, struct.pack("<I", masked(crc32c(payload)))))
+    return frames([payload])[0]
+
+
+def unframe_many(records: list[bytes]) -> list[bytes]:
+    """The payloads; ValueError if a length or a checksum is wrong."""
+    sums = crc32c_many([*(r[:8] for r in records), *(r[12:-4] for r in records)])
+    for record, x, y in zip(records, sums[: len(records)], sums[len(records) :], strict=True):
+        if struct.unpack_from("<Q", record)[0] != len(record) - 16 or masked(x) != struct.unpack_from("<I", record, 8)[0]:
+            raise ValueError("damaged length of a record")
+        if masked(y) != struct.unpack("<I", record[-4:])[0]:
+            raise ValueError("damaged record")
+    return [r[12:-4] for r in records]
 
 
 def unframe(record: bytes) -> bytes:
-    """The payload; ValueError if a checksum is wrong."""
-    (length,), (of_length,) = struct.unpack_from("<Q", record), struct.unpack_from("<I", record, 8)
-    if masked(crc32c(record[:8])) != of_length or len(record) != length + 16:
-        raise ValueError("damaged length of a record")
-    payload = record[12:-4]
-    if masked(crc32c(payload)) != struct.unpack("<I", record[-4:])[0]:
-        raise ValueError("damaged record")
-    return payload
+    return unframe_many([record])[0]
 
 
 def _write(batches: Iterator[pa.RecordBatch], at: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, fs, top = encoder(path).encode, *folder(at)
     part, name, out, index, offset, ids_before = TaskContext.get().partitionId(), "", None, [], 0, 0
     for batch in batches:
-        for k in range(0, len(batch), 256):
-            few = batch.slice(k, 256)
+        for k in range(0, len(batch), _BATCH):
+            few = batch.slice(k, _BATCH)
+            payloads = []
             for doc_id, ids in zip(few["doc_id"].to_pylist(), encode(few["text"].to_pylist()), strict=True):
-                if out is None:
-                    name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
-                    out = fs.open_output_stream(f"{top}/{name}.rec")
                 ids = np.append(ids, np.uint32(end_id))
                 width = 2 if ids.max() < 65536 else 4
-                record = frame(struct.pack("<q?B", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes())
-                out.write(record)
-                index.append((offset, len(record), ids_before, len(ids)))
-                offset += len(record)
+                payloads.append(struct.pack("<q?B", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes())
+                index.append([0, 0, ids_before, len(ids)])
                 ids_before += len(ids)
+            if out is None:
+                name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
+                out = fs.open_output_stream(f"{top}/{name}.rec")
+            records = frames(payloads)
+            for entry, record in zip(index[-len(records) :], records, strict=True):
+                entry[:2] = offset, len(record)
+                offset += len(record)
+            out.write(b"".join(records))
     if out is not None:
         out.close()
         with fs.open_output_stream(f"{top}/{name}.idx") as side:
-            side.write(np.array(index, _INDEX).tobytes())
+            side.write(np.array([tuple(x) for x in index], _INDEX).tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "records": [len(index)], "ids": [ids_before], "bytes": [offset]}, _FILES)
 
 
@@ -139,12 +158,17 @@ def read_records(at: str, name: str, wanted: np.ndarray | None = None) -> Iterat
     fs, top = reader(at)
     with fs.open_input_stream(f"{top}/{name}.idx") as side:
         index = np.frombuffer(side.read(), _INDEX)
+    wanted = np.arange(len(index)) if wanted is None else wanted
     with fs.open_input_file(f"{top}/{name}.rec") as file:
-        for k in range(len(index)) if wanted is None else wanted:
-            file.seek(int(index["offset"][k]))
-            payload = unframe(file.read(int(index["length"][k])))
-            doc_id, null, width = struct.unpack_from("<q?B", payload)
-            yield int(k), int(index["before"][k]), None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
+        for at in range(0, len(wanted), _BATCH):
+            some = wanted[at : at + _BATCH]
+            records = []
+            for k in some:
+                file.seek(int(index["offset"][k]))
+                records.append(file.read(int(index["length"][k])))
+            for k, payload in zip(some, unframe_many(records), strict=True):
+                doc_id, null, width = struct.unpack_from("<q?B", payload)
+                yield int(k), int(index["before"][k]), None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 def _read(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ space counts, texts with more of it than single spaces and line breaks go to the
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -94,7 +94,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has those of an empty one."""
         parts = [self._chunks(text) if text else [] for text in texts]
-        chunks = [c for part in parts if part for c in part]
+        chunks = list(chain.from_iterable(filter(None, parts)))
         if len(self.slot) > self.most:
             self._thin()
         at = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
