@@ -1,13 +1,16 @@
 """Exact Jaccard join on word n-grams, as a blocked sparse matrix product.
 
 The rows of the incidence matrix are the different n-gram sets, the columns are n-grams,
-and two rows link when ``100 * overlap >= percent * union``. Three bounds that follow from
-the sizes discard pairs, none of them drops a link:
+and two rows link when ``100 * overlap >= percent * union``. Bounds that follow from
+the sizes discard pairs, none drops a link:
 
 * Linked sets of sizes a <= b differ in at most K = (a + b)(100 - p) / (100 + p) n-grams. With
   the columns hashed into K + q blocks, linked rows agree in q whole blocks at least. Rows
   of neighbouring size classes meet only where a whole block has the same n-grams. (Empty blocks and
   those of one or two n-grams say little; a row sends them only if it has q of them or more.)
+* Below a threshold of 88 % blocks would hold few n-grams. There, rows meet by n-grams of their first
+  n - ceil(p n / 100) + 1 ones in a common order, of which linked rows share one. Those of one text alone come
+  first in it and need not be sent: an exchange of half of the n-grams, packed, tells which they are.
 * What meets is one candidate component. Within it, overlaps are accumulated against a centre
   (the n-grams of most rows): overlap(x, y) = |centre| - r(x) - r(y) + common removals + common
   additions, so two rows without a common removal or addition are decided by their sizes alone.
@@ -39,6 +42,8 @@ from causeway.llm.components import components
 from causeway.runtime import settled
 
 _FEW, _SPARE, _MANY = 2, 4, 100
+#: Below this threshold whole blocks would be too small to tell sets apart, and sets meet by their rarest n-grams.
+BLOCKS_FROM = 88
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,21 +139,23 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array(sizes), pa.array(set_digests(grams, sizes))], ["doc_id", "n_shingles", "node"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Packed entries for each bucket: one for each hash, its first node, and the links to it within this task."""
-    hashes, nodes, held = [], [], 0
+def _packed(hashes: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries for each bucket: one for each hash, its first node, and the links of the others to it."""
+    h, first, links = _stars(hashes, nodes)
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    of_links = links[:, 0] % buckets
+    links = links[np.argsort(of_links, kind="stable")]
+    to = np.searchsorted(np.sort(of_links), np.arange(buckets + 1))
+    full = [b for b in range(buckets) if at[b + 1] > at[b] or to[b + 1] > to[b]]
+    data = [h[o := order[at[b] : at[b + 1]]].astype("<u8").tobytes() + first[o].astype("<i8").tobytes() for b in full]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array([links[to[b] : to[b + 1]].astype("<i8").tobytes() for b in full], pa.binary())], ["bucket", "entries", "links"])
 
-    def packed() -> pa.RecordBatch:
-        h, first, links = _stars(np.concatenate(hashes), np.concatenate(nodes))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        to = np.searchsorted(np.sort(m := links[:, 0] % buckets), np.arange(buckets + 1)) if len(links) else np.zeros(buckets + 1, np.int64)
-        links = links[np.argsort(m, kind="stable")] if len(links) else links
-        full = [b for b in range(buckets) if at[b + 1] > at[b] or to[b + 1] > to[b]]
-        data = [h[o := order[at[b] : at[b + 1]]].astype("<u8").tobytes() + first[o].astype("<i8").tobytes() for b in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array([links[to[b] : to[b + 1]].astype("<i8").tobytes() for b in full], pa.binary())], ["bucket", "entries", "links"])
 
+def _meet(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Packed entries of the block hashes of a task's texts."""
+    hashes, nodes, held = [], [], 0
     for batch in batches:
         for _, data, offsets in A.text_slices(batch):
             grams, sizes = gram_sets(data, offsets, n)
@@ -158,10 +165,83 @@ def _meet(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int,
             nodes.append(node[of])
             held += len(h)
             if held >= most:
-                yield packed()
+                yield _packed(np.concatenate(hashes), np.concatenate(nodes), buckets)
                 hashes, nodes, held = [], [], 0
     if held:
-        yield packed()
+        yield _packed(np.concatenate(hashes), np.concatenate(nodes), buckets)
+
+
+_LISTS = "bucket int, grp int, size int, data binary"
+
+
+def _sampled(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams in the lower half of all hashes: their keys without repeats, each one's key, and which n-grams they are."""
+    at = np.flatnonzero(grams >> np.uint64(63) == 0)
+    keys, of = np.unique(A.mix(grams[at] * A.C2) % np.uint64(buckets) << A.S32 | grams[at] & np.uint64(0xFFFFFFFF), return_inverse=True)
+    return keys, of, at
+
+
+def _cuts(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    bucket = (keys >> A.S32).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
+
+
+def rare_first(grams: np.ndarray, sizes: np.ndarray, sampled: np.ndarray, shared: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams by which sets meet, and the index of the set of each: of the first n - ceil(p n / 100) + 1 those that another text may have.
+
+    The order is the same for all sets: sampled n-grams of one text alone, then those not sampled, then
+    sampled ones of several texts; each by hash.
+    """
+    kind = np.where(sampled, np.where(shared, 2, 0), 1)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((grams, kind, rows))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = sizes - -(-sizes * percent // 100) + 1
+    chosen = order[(place < first[rows]) & (kind[order] > 0)]
+    return grams[chosen], rows[chosen]
+
+
+def _meet_rare(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Packed entries of rare_first(): one exchange of packed half-sets tells each group which of its n-grams are shared."""
+    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+
+    def rows(out: list[tuple]) -> pa.Table:
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table({c: pa.array(v, pa.binary() if c == "data" else pa.int32()) for c, v in zip(("bucket", "grp", "size", "data"), columns, strict=True)})
+
+    def ask(key, table):
+        data, offsets = A.text_bytes(table["text"])
+        keys, of, _ = _sampled(gram_sets(data, offsets, n)[0], buckets)
+        multi = np.bincount(of, minlength=len(keys)) > 1
+        return rows([(b, key[0].as_py(), e - s, keys[s:e].astype("<u4").tobytes() + np.packbits(multi[s:e]).tobytes()) for b, s, e in _cuts(keys)])
+
+    def answer(table):
+        sizes, data = table["size"].to_pylist(), table["data"].to_pylist()
+        keys = np.concatenate([np.frombuffer(d, "<u4", k) for d, k in zip(data, sizes, strict=True)])
+        own = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=4 * k), count=k) for d, k in zip(data, sizes, strict=True)])
+        _, of, count = np.unique(keys, return_inverse=True, return_counts=True)
+        multi = count > 1
+        multi[of[own > 0]] = True
+        bits, ends = multi[of], np.cumsum(sizes).tolist()
+        return table.set_column(3, "data", pa.array([np.packbits(bits[e - k : e]).tobytes() for e, k in zip(ends, sizes, strict=True)], pa.binary()))
+
+    def meet(key, table, answers):
+        data, offsets = A.text_bytes(table["text"])
+        grams, sizes = gram_sets(data, offsets, n)
+        keys, of, at = _sampled(grams, buckets)
+        got = dict(zip(answers["bucket"].to_pylist(), zip(answers["size"].to_pylist(), answers["data"].to_pylist(), strict=True), strict=True))
+        known = np.zeros(len(keys), bool)
+        for b, s, e in _cuts(keys):
+            known[s:e] = np.unpackbits(np.frombuffer(got[b][1], np.uint8), count=got[b][0]).astype(bool)
+        sampled, shared = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+        sampled[at], shared[at] = True, known[of]
+        h, row = rare_first(grams, sizes, sampled, shared, percent)
+        return pa.Table.from_batches([_packed(h, set_digests(grams, sizes)[row], buckets)])
+
+    asked = dealt.groupBy("grp").applyInArrow(ask, _LISTS)
+    answered = asked.groupBy("bucket").applyInArrow(answer, _LISTS)
+    return dealt.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(meet, "bucket int, entries binary, links binary")
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -279,7 +359,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, component
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, (total or 0) // 8_000_000)
     filled = docs.where("doc_id is not null")
-    met = filled.mapInArrow(lambda it: _meet(it, n, percent, buckets), "bucket int, entries binary, links binary")
+    if percent >= BLOCKS_FROM:
+        met = filled.mapInArrow(lambda it: _meet(it, n, percent, buckets), "bucket int, entries binary, links binary")
+    else:
+        met = _meet_rare(filled, n, percent, max(parts, (total or 0) // 1_500_000))
     links = settled(met.groupBy("bucket").applyInArrow(_links, "a long, b long"), "met")
     classes = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("cells"))
     members = settled(components(links).join(classes, "node"), "members")
