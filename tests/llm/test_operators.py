@@ -195,7 +195,7 @@ def components_by_force(texts, n, percent):
     return {k: (len(s), root(k)) for k, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("n", "percent", "cells"), [(3, 90, 8_000_000), (5, 80, 8_000_000), (3, 90, 700), (3, 100, 8_000_000)])
+@pytest.mark.parametrize(("n", "percent", "cells"), [(3, 90, 8_000_000), (5, 80, 8_000_000), (2, 80, 8_000_000), (1, 60, 900), (3, 90, 700), (3, 100, 8_000_000)])
 def test_jaccard_components(spark, n, percent, cells):
     from causeway.llm.ngram_join import jaccard_components
 
