@@ -214,6 +214,7 @@ def _meet_rare(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
         data, offsets = A.text_bytes(table["text"])
         keys, of, _ = _sampled(gram_sets(data, offsets, n)[0], buckets)
         multi = np.bincount(of, minlength=len(keys)) > 1
+        A.release()
         return rows([(b, key[0].as_py(), e - s, keys[s:e].astype("<u4").tobytes() + np.packbits(multi[s:e]).tobytes()) for b, s, e in _cuts(keys)])
 
     def answer(table):
@@ -224,6 +225,7 @@ def _meet_rare(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
         multi = count > 1
         multi[of[own > 0]] = True
         bits, ends = multi[of], np.cumsum(sizes).tolist()
+        A.release()
         return table.set_column(3, "data", pa.array([np.packbits(bits[e - k : e]).tobytes() for e, k in zip(ends, sizes, strict=True)], pa.binary()))
 
     def meet(key, table, answers):
@@ -237,7 +239,10 @@ def _meet_rare(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
         sampled, shared = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
         sampled[at], shared[at] = True, known[of]
         h, row = rare_first(grams, sizes, sampled, shared, percent)
-        return pa.Table.from_batches([_packed(h, set_digests(grams, sizes)[row], buckets)])
+        nodes = set_digests(grams, sizes)[row]
+        del grams, keys, of, at, sampled, shared
+        A.release()
+        return pa.Table.from_batches([_packed(h, nodes, buckets)])
 
     asked = dealt.groupBy("grp").applyInArrow(ask, _LISTS)
     answered = asked.groupBy("bucket").applyInArrow(answer, _LISTS)
@@ -253,7 +258,7 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"a": links[:, 0].copy(), "b": links[:, 1].copy()})
 
 
-def linked_rows(grams: np.ndarray, sizes: np.ndarray, percent: int, cells: int = 4_000_000) -> np.ndarray:
+def linked_rows(grams: np.ndarray, sizes: np.ndarray, percent: int, cells: int = 1_000_000) -> np.ndarray:
     """For each set the index of the first one of its component: the blocked product with its bounds."""
     m, p = len(sizes), percent
     top = np.arange(m)
@@ -342,10 +347,11 @@ def _product(table: pa.Table, n: int, percent: int) -> pa.Table:
         lead = linked_rows(np.concatenate([grams[at[k] : at[k + 1]] for k in mine]), sizes[mine], percent) if len(mine) else mine
         a.append(digests[mine])
         b.append(digests[mine[lead]])
+    A.release()
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, component_cells: int = 8_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, component_cells: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs`` (doc_id, text): component_id is the smallest id reachable by links.
 
     ``component_cells`` bounds the n-grams that one task holds for a candidate component.
@@ -362,7 +368,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, component
     if percent >= BLOCKS_FROM:
         met = filled.mapInArrow(lambda it: _meet(it, n, percent, buckets), "bucket int, entries binary, links binary")
     else:
-        met = _meet_rare(filled, n, percent, max(parts, (total or 0) // 1_500_000))
+        met = _meet_rare(filled, n, percent, max(parts, (total or 0) // 750_000))
     links = settled(met.groupBy("bucket").applyInArrow(_links, "a long, b long"), "met")
     classes = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("cells"))
     members = settled(components(links).join(classes, "node"), "members")
