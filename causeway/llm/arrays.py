@@ -43,6 +43,13 @@ def release() -> None:
         _trim(0)
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """From now on the session hands Python ``rows`` rows at a time at most: whole texts are long, and buffers on both sides are as large as a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Runs of rows with about ``size`` bytes of text (one row may be longer): rows, UTF-8 bytes, offsets of the texts."""
     if isinstance(table, pa.RecordBatch):

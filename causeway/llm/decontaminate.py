@@ -144,6 +144,7 @@ def _slices(items: DataFrame, item_bytes: int) -> Iterator[tuple[list, list]]:
 
 
 def _prepared(docs: DataFrame, items: DataFrame, n: int, stride: int, item_bytes: int) -> Iterator[Index]:
+    A.small_batches(docs.sparkSession)
     for ids, texts in _slices(items, item_bytes):
         index = Index(ids, texts, n)
         held = docs.sparkSession.sparkContext.broadcast(index)

@@ -129,6 +129,7 @@ def identify(docs: DataFrame, usable=None, sample: int = 2000) -> DataFrame:
     model = fit(docs, F.lit(True) if usable is None else usable, sample)
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
+    A.small_batches(docs.sparkSession)
     names = [*docs.columns, "lang_pred", "score"]
     named = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm import arrays as A
 from causeway.llm.storage import folder, reader
 from causeway.runtime import new_folder, settled
 
@@ -136,6 +137,7 @@ def _store(batches: Iterator[pa.RecordBatch], at: str, size: int) -> Iterator[pa
 def store(docs: DataFrame, at: str | None = None, shard_bytes: int = 64 << 20) -> tuple[str, DataFrame]:
     """The folder of the shards, and for each row of ``docs`` (doc_id, text) where its payload is."""
     at = at or new_folder(docs.sparkSession, "media")
+    A.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(lambda it: _store(it, at, shard_bytes), f"doc_id {kind}, {_ROWS}")
     return at, settled(rows, "media-rows")

@@ -358,6 +358,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, component
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    A.small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = settled(docs.mapInArrow(lambda it: _sets(it, n), f"doc_id {kind}, n_shingles long, node long"), "sets")
     real = sets.where("n_shingles > 0 and doc_id is not null")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from causeway.llm import arrays as A
 from causeway.llm.tokens import encoder
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -140,5 +141,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, wit
     ``with_ids`` adds the ids themselves. Windows are padded to ``size`` by their reader, save those of a power of two.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    A.small_batches(docs.sparkSession)
     schema = f"doc_id {kind}, {PIECES}" + ", ids array<long>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, tokenizer, end_id, size, with_ids), schema)

@@ -104,6 +104,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 8 << 20
         raise ValueError("window must be 2 words at least")
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed")
+    A.small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
     names = docs.columns
@@ -160,7 +161,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 8 << 20
         depth[starts] += 1
         depth[starts + window] -= 1
         gone = np.cumsum(depth)[: int(g.first[-1])] > 0
-        return _kept(g, gone).select([*names, "n_words", "n_removed"])
+        out = _kept(g, gone).select([*names, "n_words", "n_removed"])
+        del g, depth, gone, of, hashes
+        A.release()
+        return out
 
     probes = dealt.groupBy("grp").applyInArrow(probe, _LISTS)
     met = probes.groupBy("bucket").applyInArrow(meet, _LISTS)

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.llm import arrays as A
 from causeway.llm.storage import folder, reader
 from causeway.llm.tokens import encoder
 from causeway.runtime import new_folder, settled
@@ -146,6 +147,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | None
     """The folder of the files, and a row for each of them in order: part, name, records, ids, bytes, start (ids in the files before it)."""
     spark = docs.sparkSession
     at = at or new_folder(spark, "tokens")
+    A.small_batches(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     files = settled(ordered.mapInArrow(lambda it: _write(it, at, tokenizer, end_id), "part long, name string, records long, ids long, bytes long"), "files")
     # one row per file: the running sum is over a few numbers, however long the files are

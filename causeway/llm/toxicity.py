@@ -173,6 +173,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000) -> Model | None:
     """A model of all ``usable`` rows with a label; None if one class has none."""
     spark = docs.sparkSession
+    A.small_batches(spark)
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
     labels = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     learned = docs.select("doc_id", "text").where(usable).join(labels.hint("merge"), "doc_id")  # one plan at every size
