@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: exact search by rare words, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and bytes above 127, A-Z as a-z: case and punctuation
-don't tell copies apart. One pass counts the n-grams of the test items in all documents. Of
-every ``stride`` consecutive n-grams of an item the rarest one becomes a seed (the first of
-equally rare ones), so that seeds are spread over the item whatever the counts are. A second
-pass joins seeds and documents; around each run of seeds the passage is aligned with the whole item
-(match 2, mismatch -1, gap -1), and the score is divided by that of an exact copy.
+don't tell copies apart. A copy is a passage that aligns with the item (match 2, mismatch -1, gap -1)
+to a score of ``least`` times that of the whole item, 2 for each word, and of 2 ``n`` - 1 at least.
+
+No such passage is missed. A score of ``need`` takes ``need`` / 2 matched words, so all but a few of
+an item's words must stand in the passage; of any set of its words larger than those few by k, k stand
+there. Each item is probed by such a set of its rarest words, and a place counts where k of them are
+as near to each other as the longest passage allows. One pass counts the items' words in all documents;
+the counts choose set and k by cost alone and never change a result. Each place is then bounded (2 for
+each word the item has, -1 for any other, over the best stretch) and, if that suffices, aligned.
 
 The items are a stated query set: they are collected and broadcast where their text is below
 ``item_bytes`` (checked), and in slices below it otherwise, one after another, against all
@@ -39,43 +43,53 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """The items' words and n-grams. ``grams``: sorted hashes; ``places``: of each of them the (item, place) pairs."""
+    """The items' words. ``vocabulary``: sorted hashes of them; ``of``: which of these each word of the items is."""
 
-    def __init__(self, ids: list, texts: list, n: int):
-        self.ids, self.n = ids, n
+    def __init__(self, ids: list, texts: list, n: int, least: float):
+        self.ids = ids
         data, offsets = A.text_bytes(pa.chunked_array([pa.array(texts, pa.string())]))
         self.words, self.first = _words(data, offsets)
-        at = np.flatnonzero(A.run_starts(self.first, n))
-        hashes = A.run_hashes(self.words, n)[at]
-        self.grams, self.of = np.unique(hashes, return_inverse=True)
-        self.item = np.searchsorted(self.first, at, "right") - 1
-        self.place = at - self.first[self.item]
+        self.vocabulary, self.of = np.unique(self.words, return_inverse=True)
         self.lengths = np.diff(self.first)
-
-    def find(self, grams: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words and bounds of texts, and where which of the sorted ``grams`` begins in them."""
+        self.need = np.maximum(np.ceil(MATCH * least * self.lengths - 1e-9), MATCH * n - 1).astype(np.int64)
+        matched = -(-self.need // MATCH)
+        self.span = 3 * self.lengths - self.need  # words of the longest passage with that score
+        self.spare = self.lengths - matched  # so many words of the item may lack
+        self.usable = (self.lengths >= n) & (matched > 0) & (matched <= self.lengths)
+        self._maybe = np.zeros(1 << 20, bool)  # most words end here, without a search
+        self._maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and bounds of texts, and where which word of the vocabulary stands in them."""
         words, first = _words(data, offsets)
-        valid, hashes = A.run_starts(first, self.n), A.run_hashes(words, self.n)
-        maybe = np.zeros(1 << 20, bool)  # most n-grams end here, without a search
-        maybe[(grams >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(valid & maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        k = np.searchsorted(grams, hashes[at])
-        same = grams[np.minimum(k, len(grams) - 1)] == hashes[at] if len(grams) else np.zeros(len(at), bool)
+        at = np.flatnonzero(self._maybe[(words >> np.uint64(44)).astype(np.int64)])
+        k = np.searchsorted(self.vocabulary, words[at])
+        same = self.vocabulary[np.minimum(k, len(self.vocabulary) - 1)] == words[at] if len(self.vocabulary) else np.zeros(len(at), bool)
         return words, first, at[same], k[same]
 
-    def seeds(self, counts: np.ndarray, stride: int) -> None:
-        """Chooses the seeds, by the counts of all n-grams."""
-        chosen = np.zeros(len(self.of), bool)
-        for item in range(len(self.ids)):
-            own = np.flatnonzero(self.item == item)
-            for s in range(max(1, len(own) - stride + 1) if len(own) else 0):
-                window = own[s : s + stride]
-                chosen[window[np.argmin(counts[self.of[window]])]] = True
-        pairs = np.flatnonzero(chosen)
-        pairs = pairs[np.argsort(self.of[pairs], kind="stable")]
-        used, start = np.unique(self.of[pairs], return_index=True)
-        self.seed_grams, self.seed_at = self.grams[used], np.append(start, len(pairs))
-        self.seed_item, self.seed_place = self.item[pairs], self.place[pairs]
+    def choose(self, counts: np.ndarray) -> None:
+        """Chooses each item's rare words and how many of them must meet, by the counts of the vocabulary."""
+        share = (counts + 1) / (counts.sum() + 1)
+        item, word = [], []
+        self.meet = np.ones(len(self.ids), np.int64)
+        for k in np.flatnonzero(self.usable):
+            own, times = np.unique(self.of[self.first[k] : self.first[k + 1]], return_counts=True)
+            order = np.argsort(share[own], kind="stable")
+            own, times, best = own[order], np.cumsum(times[order]), None
+            rate, chance = np.cumsum(share[own]), 1.0
+            for j in range(1, self.lengths[k] - self.spare[k] + 1):
+                size = int(np.searchsorted(times, self.spare[k] + j)) + 1
+                seen = rate[size - 1]
+                chance = 1.0 if j == 1 else min(1.0, chance * seen * self.span[k] / (j - 1))
+                cost = seen * (1 + chance * self.span[k] * self.lengths[k] / 20)  # a cell of an alignment is about a twentieth of a hit
+                if best is None or cost < best[0]:
+                    best = cost, size, j
+            item.append(np.full(best[1], k))
+            word.append(own[: best[1]])
+            self.meet[k] = best[2]
+        item, word = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (item, word))
+        order = np.argsort(word, kind="stable")
+        self.probe_item, self.probe_at = item[order], np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
 
 
 def align(item: np.ndarray, passages: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -91,28 +105,41 @@ def align(item: np.ndarray, passages: np.ndarray, valid: np.ndarray) -> np.ndarr
     return best
 
 
-def _matches(index: Index, data: np.ndarray, offsets: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
-    """(text, item, score, number of seeds) for each pair whose score reaches ``least``."""
-    words, first, at, gram = index.find(index.seed_grams, data, offsets)
-    n = index.seed_at[gram + 1] - index.seed_at[gram]
-    flat = np.repeat(index.seed_at[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    item, place, where = index.seed_item[flat], index.seed_place[flat], np.repeat(at, n)
-    text = np.searchsorted(first, where, "right") - 1
-    length = index.lengths[item]
-    slack = length // 4 + 2
-    start, end = where - place - slack, where - place + length + slack
-    order = np.lexsort((start, item, text))
-    text, item, start, end = text[order], item[order], start[order], end[order]
+def _places(index: Index, first: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, start, end, number of meetings) of the passages that may hold a copy."""
+    n = index.probe_at[word + 1] - index.probe_at[word]
+    at, word, n = at[n > 0], word[n > 0], n[n > 0]
+    item = index.probe_item[np.repeat(index.probe_at[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    order = np.argsort(item, kind="stable")  # places ascend within an item
+    item, where = item[order], np.repeat(at, n)[order]
+    last = np.arange(len(item)) + index.meet[item] - 1
+    inside = last < len(item)
+    item_at, where_at, last = item[inside], where[inside], last[inside]
+    near = (item[last] == item_at) & (where[last] - where_at < index.span[item_at])
+    item, begin, end = item_at[near], where_at[near], where[last[near]]
+    text = np.searchsorted(first, begin, "right") - 1
+    same = end < first[text + 1]
+    text, item, begin, end = text[same], item[same], begin[same], end[same]
     if not len(text):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, np.int64))
-    # seeds of one item whose passages overlap are one passage; the ends of an item's passages ascend with their starts
+        return (np.zeros(0, np.int64),) * 5
+    start, end = np.maximum(end - index.span[item] + 1, first[text]), np.minimum(begin + index.span[item], first[text + 1])
+    # overlapping passages of an item are one; both ends ascend within a text
     new = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] > end[:-1])))
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(new)) - 1
-    seeds = tail - head + 1
-    text, item = text[head], item[head]
-    start, end = np.maximum(start[head], first[text]), np.minimum(end[tail], first[text + 1])
-    score = np.zeros(len(head))
+    return text[head], item[head], start[head], end[tail], tail - head + 1
+
+
+def _matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, score, number of meetings of its rare words) for each pair whose score suffices."""
+    words, first, at, word = index.find(data, offsets)
+    text, item, start, end, seeds = _places(index, first, at, word)
+    if not len(text):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, np.int64))
+    known = np.full(len(words), len(index.vocabulary), np.int32)
+    known[at] = word
+    has = np.zeros(len(index.vocabulary) + 1, bool)
+    score = np.zeros(len(text), np.int64)
     by = np.lexsort((end - start, item))
     s = 0
     while s < len(by):
@@ -123,13 +150,21 @@ def _matches(index: Index, data: np.ndarray, offsets: np.ndarray, least: float)
         width = int((end - start)[rows].max())
         grid = start[rows][:, None] + np.arange(width)
         inside = grid < end[rows][:, None]
-        score[rows] = align(index.words[index.first[k] : index.first[k + 1]], words[np.minimum(grid, len(words) - 1)], inside) / (MATCH * index.lengths[k])
+        grid = np.minimum(grid, len(words) - 1)
+        own = index.of[index.first[k] : index.first[k + 1]]
+        has[own] = True
+        sums = np.cumsum(np.where(has[known[grid]] & inside, MATCH, MISMATCH), axis=1, dtype=np.int32)
+        has[own] = False
+        lowest = np.minimum.accumulate(np.append(np.zeros((len(rows), 1), np.int32), sums[:, :-1], axis=1), axis=1)
+        some = (sums - lowest).max(axis=1) >= index.need[k]
+        if some.any():
+            score[rows[some]] = align(index.words[index.first[k] : index.first[k + 1]], words[grid[some]], inside[some])
         s = e
     pair, of = np.unique(np.stack([text, item], 1), axis=0, return_inverse=True)
-    best, total = np.zeros(len(pair)), np.bincount(of.ravel(), seeds, len(pair)).astype(np.int64)
+    best, total = np.zeros(len(pair), np.int64), np.bincount(of.ravel(), seeds, len(pair)).astype(np.int64)
     np.maximum.at(best, of.ravel(), score)
-    good = best >= least
-    return pair[good, 0], pair[good, 1], best[good], total[good]
+    good = best >= index.need[pair[:, 1]]
+    return pair[good, 0], pair[good, 1], (best / (MATCH * index.lengths[pair[:, 1]]))[good], total[good]
 
 
 def _slices(items: DataFrame, item_bytes: int) -> Iterator[tuple[list, list]]:
@@ -143,38 +178,38 @@ def _slices(items: DataFrame, item_bytes: int) -> Iterator[tuple[list, list]]:
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
-def _prepared(docs: DataFrame, items: DataFrame, n: int, stride: int, item_bytes: int) -> Iterator[Index]:
+def _prepared(docs: DataFrame, items: DataFrame, n: int, least: float, item_bytes: int) -> Iterator[Index]:
     A.small_batches(docs.sparkSession)
     for ids, texts in _slices(items, item_bytes):
-        index = Index(ids, texts, n)
+        index = Index(ids, texts, n, least)
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def count(batches, held=held):
-            total = np.zeros(len(held.value.grams), np.int64)
+            total = np.zeros(len(held.value.vocabulary), np.int64)
             for batch in batches:
                 for _, data, offsets in A.text_slices(batch):
-                    total += np.bincount(held.value.find(held.value.grams, data, offsets)[3], minlength=len(total))
+                    total += np.bincount(held.value.find(data, offsets)[3], minlength=len(total))
             found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["word", "n"])
 
-        counts = np.zeros(len(index.grams), np.int64)
-        for row in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # as many as the items have n-grams
-            counts[row.gram] = row.n
-        index.seeds(counts, stride)
+        counts = np.zeros(len(index.vocabulary), np.int64)
+        for row in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # as many as the items have words
+            counts[row.word] = row.n
+        index.choose(counts)
         yield index
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stride: int = 4, least: float = 0.5, item_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, item_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, score, n_seeds) of each document and item of which it holds a copy, from a score of ``least`` on."""
     spark, out = docs.sparkSession, None
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
-    for index in _prepared(docs, items, n, stride, item_bytes):
+    for index in _prepared(docs, items, n, least, item_bytes):
         held = spark.sparkContext.broadcast(index)
 
         def match(batches, held=held):
             for batch in batches:
                 for rows, data, offsets in A.text_slices(batch):
-                    text, item, score, seeds = _matches(held.value, data, offsets, least)
+                    text, item, score, seeds = _matches(held.value, data, offsets)
                     ids = pa.array([held.value.ids[k] for k in item.tolist()], pa.int64() if kinds[1].simpleString() in ("bigint", "int") else pa.string())
                     yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(pa.array(text, pa.int64())), ids, pa.array(score, pa.float64()), pa.array(seeds, pa.int64())], ["doc_id", "item_id", "score", "n_seeds"])
 
@@ -183,17 +218,17 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stride: int = 4,
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stride: int = 4, least: float = 0.5, item_bytes: int = 32 << 20) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, item_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item."""
     schema = docs.schema
-    for index in _prepared(docs, items, n, stride, item_bytes):
+    for index in _prepared(docs, items, n, least, item_bytes):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches, held=held):
             for batch in batches:
                 for rows, data, offsets in A.text_slices(batch):
                     keep = np.ones(len(rows), bool)
-                    keep[_matches(held.value, data, offsets, least)[0]] = False
+                    keep[_matches(held.value, data, offsets)[0]] = False
                     yield from rows.filter(pa.array(keep)).to_batches()
 
         docs = docs.mapInArrow(clean, schema)

@@ -501,6 +501,30 @@ def test_decontamination(spark):
     assert contaminated(docs, benchmark.limit(0)).count() == 0 and contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_by_force(spark):
+    from causeway.llm.decontaminate import contaminated
+
+    r = random.Random(4)
+    some = [f"w{k}" for k in range(40)]
+    items = [[r.choice(some) for _ in range(r.choice([3, 4, 5, 8, 11, 15, 24]))] for _ in range(14)]
+    items += [[f"a{k}" for k in range(30)], [f"b{k}" for k in range(11)]]
+    texts = [["x"] * 9 + [w if k % 5 != 4 else "changed" for k, w in enumerate(items[14])] + ["y"] * 9, [w if k != 5 else "changed" for k, w in enumerate(items[15])]]
+    texts.append([w for k, w in enumerate(items[14]) for w in [w, *["new"] * (k % 3 < 2)]])  # words put in between
+    for k in range(150):
+        copy = [w for w in items[k % 14] for w in r.choice([[w], [w], [w], [], ["changed"], [w, "new"]])]
+        texts.append([r.choice(some) for _ in range(r.randrange(30))] + copy + [r.choice(some) for _ in range(r.randrange(30))])
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    for least in (0.5, 0.7):
+        expected = {}
+        for d, t in enumerate(texts):
+            for i, x in enumerate(items):
+                score = align_by_force(x, t)
+                if score >= max(2 * least * len(x) - 1e-9, 5):
+                    expected[d, i] = score / (2 * len(x))
+        got = {(x.doc_id, x.item_id): x.score for x in contaminated(make_docs(spark, [" ".join(t) for t in texts]), benchmark, least=least).collect()}
+        assert got == pytest.approx(expected) and {(0, 14), (1, 15)} <= set(got)
+
+
 # pipeline
 
 
