@@ -5,8 +5,9 @@ and five classes of the bytes above. Two models of runs of four symbols, toxic a
 discounted and back off to the same counts: those of both classes, which in turn back off to
 continuation counts of shorter runs (Kneser and Ney 1995). A rare expression is thus as likely in both
 models, unless one class has shown it. A word's log-likelihood ratio is the sum of its symbols';
-a text's features are the sums by which words exceed two levels, divided by its length or its root, and a
-logistic curve on a held-back half of the learning rows turns them into a score, moved so that 0.3
+a text's features are the sum over all its symbols divided by their number (the comparison of
+length-normalised log-likelihoods) and the sums by which words exceed two levels, divided by the number
+of words or its root. A logistic curve on a held-back half of the learning rows turns them into a score, moved so that 0.3
 is where it separates these rows best.
 
 All learnable rows are counted: each task sends the runs it met, packed by range, and they are added up
@@ -31,7 +32,7 @@ from causeway.llm import arrays as A
 
 SYMBOLS, ORDER, RANGES = 32, 4, 64
 ENTRIES = SYMBOLS**ORDER
-DISCOUNT, STRENGTH, LEVELS = 0.75, 50.0, (1.0, 1.5)
+DISCOUNT, STRENGTH, LEVELS, FEATURES = 0.75, 50.0, (1.0, 1.5), 5
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[0x61:0x7B] = np.arange(1, 27)
 _SYMBOL[0x41:0x5B] = np.arange(1, 27)
@@ -120,7 +121,7 @@ def ratio_table(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def text_features(ratios: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     code, words, first = _runs(data, offsets)
-    out = np.zeros((len(first) - 1, 4))
+    out = np.zeros((len(first) - 1, FEATURES))
     if len(code):
         starts = np.flatnonzero(words)
         each = np.add.reduceat(ratios[code].astype(np.float64), starts)
@@ -129,7 +130,8 @@ def text_features(ratios: np.ndarray, data: np.ndarray, offsets: np.ndarray) ->
         excess = [np.maximum(each - level, 0) for level in LEVELS]
         sums = [np.diff(np.concatenate(([0.0], np.cumsum(e)))[bound]) for e in excess]
         hits = np.diff(np.concatenate(([0], np.cumsum(each > 2.5)))[bound])
-        out[:] = np.stack([20 * sums[0] / n, sums[1] / np.sqrt(n), 20 * hits / n, np.log(n) / 10], 1)
+        whole = np.diff(np.concatenate(([0.0], np.cumsum(ratios[code], dtype=np.float64)))[first]) / np.maximum(1, np.diff(first))
+        out[:] = np.stack([20 * sums[0] / n, sums[1] / np.sqrt(n), 20 * hits / n, np.log(n) / 10, 20 * whole], 1)
         out[np.diff(first) == 0] = 0
     return out
 
@@ -196,10 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000)
                 yield pa.RecordBatch.from_arrays([rows["toxic"].combine_chunks(), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["toxic", *(f"f{k}" for k in range(x.shape[1]))])
 
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half.alias("half"))  # bounded by the sample
-    found = np.array(sorted(tuple(r) for r in few.mapInArrow(features, "toxic int, f0 double, f1 double, f2 double, f3 double").collect()))
+    found = np.array(sorted(tuple(r) for r in few.mapInArrow(features, "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).collect()))
     y = found[:, 0] if len(found) else np.zeros(0)
     if len(set(y.tolist())) < 2:
-        return Model(tables, np.array([1.0, 1.0, 0.0, 0.0, -2.0]))
+        return Model(tables, np.array([1.0, 1.0, 0.0, 0.0, 1.0, -2.0]))
     return Model(tables, shifted(fit_curve(found[:, 1:], y), found[:, 1:], y))
 
 

@@ -448,6 +448,19 @@ def test_kneser_ney_estimates_sum_to_one():
     assert np.isfinite(table).all()
 
 
+def test_whole_texts_are_compared():
+    from causeway.llm import toxicity as t
+
+    ratios = np.random.default_rng(3).normal(0, 0.05, t.ENTRIES).astype(np.float32)  # no word exceeds a level
+    texts = ["some plain words", "", "others of them, again and again"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = t.text_features(ratios, data, offsets)
+    code, _, first = t._runs(data, offsets)
+    for k in (0, 2):
+        assert got[k, 4] == pytest.approx(20 * ratios[code[first[k] : first[k + 1]]].astype(float).mean())
+    assert got.shape == (3, t.FEATURES) and not got[1].any()
+
+
 # 10
 
 
