@@ -1,8 +1,10 @@
 """Benchmark decontamination: exact search by rare words, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and bytes above 127, A-Z as a-z: case and punctuation
-don't tell copies apart. A copy is a passage that aligns with the item (match 2, mismatch -1, gap -1)
-to a score of ``least`` times that of the whole item, 2 for each word, and of 2 ``n`` - 1 at least.
+don't tell copies apart. A character of a script that sets no spaces between words (Chinese, Japanese,
+Thai, Lao, Khmer, Burmese) is a word of its own. A copy is a passage that aligns with the item (match 2, mismatch -1, gap -1)
+to a score of ``least`` times that of the whole item, 2 for each word, and of 2 ``n`` - 1 at
+least; an item of fewer words than ``n`` must stand there word for word.
 
 No such passage is missed. A score of ``need`` takes ``need`` / 2 matched words, so all but a few of
 an item's words must stand in the passage; of any set of its words larger than those few by k, k stand
@@ -13,8 +15,8 @@ each word the item has, -1 for any other, over the best stretch) and, if that su
 
 The items are a stated query set: they are collected and broadcast where their text is below
 ``item_bytes`` (checked), and in slices below it otherwise, one after another, against all
-documents. Documents are never shuffled. Null or empty documents match nothing; items of fewer
-words than ``n`` are too short to tell and match nothing; repeated items are items of their own.
+documents. Documents are never shuffled. Null or empty documents match nothing, nor do items
+without a word; repeated items are items of their own.
 """
 
 from __future__ import annotations
@@ -34,11 +36,34 @@ _WORD[0x30:0x3A] = np.arange(0x30, 0x3A)
 _WORD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _WORD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _WORD[0x80:] = np.arange(0x80, 0x100)
+# fixed values: scripts without spaces between words, as ranges of characters
+_WIDE = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each character that is a word of its own, in UTF-8."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at, at
+    size = np.where(data[at] < 0xF0, 3, 4)
+    code = data[at].astype(np.int64) & np.where(size == 3, 0x0F, 0x07)
+    for k in (1, 2, 3):
+        code = np.where(k < size, code << 6 | data[np.minimum(at + k, len(data) - 1)] & 0x3F, code)
+    wide = np.zeros(len(at), bool)
+    for low, high in _WIDE:
+        wide |= (code >= low) & (code <= high)
+    return at[wide], (at + size)[wide]
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = _WORD[data]
     begins, ends, first = A.word_bounds(data, offsets)
+    starts, stops = _alone(data)
+    if len(starts):
+        cut = np.union1d(starts, stops)
+        begins = np.union1d(begins, cut[np.append(data, 0x20)[cut] != 0x20])
+        ends = np.union1d(ends, cut[(cut > 0) & (data[cut - 1] != 0x20)])
+        first = np.searchsorted(begins, offsets)
     return A.word_hashes(data, begins, ends), first
 
 
@@ -51,11 +76,11 @@ class Index:
         self.words, self.first = _words(data, offsets)
         self.vocabulary, self.of = np.unique(self.words, return_inverse=True)
         self.lengths = np.diff(self.first)
-        self.need = np.maximum(np.ceil(MATCH * least * self.lengths - 1e-9), MATCH * n - 1).astype(np.int64)
+        self.need = np.maximum(np.ceil(MATCH * least * self.lengths - 1e-9), np.minimum(MATCH * n - 1, MATCH * self.lengths)).astype(np.int64)
         matched = -(-self.need // MATCH)
         self.span = 3 * self.lengths - self.need  # words of the longest passage with that score
         self.spare = self.lengths - matched  # so many words of the item may lack
-        self.usable = (self.lengths >= n) & (matched > 0) & (matched <= self.lengths)
+        self.usable = (matched > 0) & (matched <= self.lengths)
         self._maybe = np.zeros(1 << 20, bool)  # most words end here, without a search
         self._maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 

@@ -538,6 +538,16 @@ def test_decontamination_by_force(spark):
         assert got == pytest.approx(expected) and {(0, 14), (1, 15)} <= set(got)
 
 
+def test_decontamination_of_short_items(spark):
+    from causeway.llm.decontaminate import contaminated
+
+    items = ["Quux", "grault garply", "", "!!", "我们今天去北京看长城", "ภาษาไทย", "日本 go語"]
+    texts = ["a quux, b", "quuxes", "grault, GARPLY.", "grault x garply", "garply grault", "他说我们今天要去北京看长城。", "看北长我今", "เรียนภาษาไทยนะ", "用日本go語を", "日本 x", "grault"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in contaminated(make_docs(spark, texts), benchmark).collect()}
+    assert got == {(0, 0), (2, 1), (5, 4), (7, 5), (8, 6)}
+
+
 # pipeline
 
 
