@@ -127,7 +127,7 @@ def register(query: Callable, pair: Callable, pair_model: Callable) -> None:
         "latent_vs_observed": lambda s, d: latent_vs_observed(pair(s, d), downsample(zscore(pair(s, d), ["x0"]), 6), 6),
         "smoothing": lambda s, d: smoothing(pair(s, d), observed(s, d), smooth(s, d), 200),
         "mixed_observation": lambda s, d: mixed_observation(pair(s, d), ssm.latent_proxy(observed(s, d).drop("u0"), [[2.0]]), smooth(s, d), 200),
-        "log_likelihood": lambda s, d: log_likelihood(ssm.em(observed(s, d), most=4)),
+        "log_likelihood": lambda s, d: log_likelihood(ssm.em(observed(s, d))),
         "method_bars": lambda s, d: method_bars(gc_time.all_pairs_gc(plain(s, d)).withColumn("label", F.concat_ws("->", "source", "target")), "label", "gc"),
     }
     for name, chart in charts.items():

@@ -593,12 +593,12 @@ def kalman_smoother(spark, sf_dir):
 
 @query()
 def em_ssm(spark, sf_dir):
-    return ssm.em(_observed(spark, sf_dir, 2), most=5)
+    return ssm.em(_observed(spark, sf_dir, 2))
 
 
 @query()
 def em_ssm_known_c(spark, sf_dir):
-    return ssm.em(_observed(spark, sf_dir, 2), c=[[1, 0.35], [0.25, 1]], most=5)
+    return ssm.em(_observed(spark, sf_dir, 2), c=[[1, 0.35], [0.25, 1]])
 
 
 _INV = np.linalg.pinv(np.array([[1, 0.35], [0.25, 1]]))

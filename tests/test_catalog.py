@@ -36,3 +36,10 @@ def test_query_is_its_sql(spark, duck, name):
     assert columns == sorted(other.columns) and len(mine) == len(other) > 0
     rows = [sorted(map(tuple, d[columns].astype({c: float for c in columns if d[c].dtype.kind in "iuf"}).itertuples(index=False, name=None))) for d in (mine, other)]
     assert all(p == pytest.approx(q, abs=2e-6) if not isinstance(p, str) else p == q for a, b in zip(*rows) for p, q in zip(a, b))
+
+
+@pytest.mark.parametrize("name", ["em_ssm", "em_ssm_known_c"])
+def test_em_runs_until_it_stops_by_itself(spark, name):
+    for r in entry.queries()[name](spark, DATA).collect():
+        last = r.log_likelihoods[-2:]
+        assert len(r.log_likelihoods) == 50 or abs(last[1] - last[0]) < 1e-4
