@@ -2,22 +2,24 @@
 
 Features are frequencies of byte trigrams (A-Z as a-z, other ASCII characters that are no letters
 as a space), hashed to ``SIZE`` columns; a decision is the mean weight of a text's trigrams plus a bias.
-The machines are fitted by dual coordinate descent on ``sample`` labelled texts at most, those
-with the smallest hashes of their ids. A language that the table of families lacks is a family
+The machines are fitted by dual coordinate descent on ``sample`` labelled texts at most, equally many of
+each language. A language that the table of families lacks is a family
 of its own. Prediction reads each whole text once and needs no shuffle.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if there is
-nothing to learn from. With one language learned, all other texts get it. Extra columns are ignored.
+nothing to learn from. With one language learned, all other texts get it. Extra columns are kept as they are, save
+lang_pred and score, whose place the operator's take. Repeated rows are predicted each and learned from each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm import arrays as A
@@ -112,35 +114,67 @@ class Model:
         return lang, score
 
 
-def fit(docs: DataFrame, usable, sample: int = 2000) -> Model | None:
-    """A model of the ``sample`` texts with the smallest hashes among the ``usable`` rows with a lang; None if there are none."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").drop("doc_id")
-    found = rows.mapInArrow(_profiles, "lang string, profile binary").collect()  # bounded by the sample
+def fit(docs: DataFrame, usable: Column, sample: int = 2000) -> Model | None:
+    """A model of ``sample`` usable rows with a lang and a letter at most; None if there are none.
+
+    All languages give equally many rows (1000 at most; the most frequent ``sample`` languages if there are more), those with
+    the smallest hashes of their ids. A first cut by the hash leaves a few times as many, so the choice never meets in one task at full size.
+    """
+    known = docs.where(usable & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    if not counts:
+        return None
+    each = max(1, min(1000, sample // len(counts)))
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, math.ceil((8 * each + 64) / r["count"] * (1 << 30)))) for r in counts], "lang string, cut long")
+    few = known.join(F.broadcast(cuts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("cut")).where(F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    few = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).select("lang", "text")
+    found = few.mapInArrow(_profiles, "lang string, profile binary").collect()  # bounded by the sample, in rows
     if not found:
         return None
     found.sort(key=lambda r: (r.lang, r.profile))
     return Model([r.lang for r in found], np.stack([np.frombuffer(r.profile, "<f4") for r in found]))
 
 
-def identify(docs: DataFrame, usable=None, sample: int = 2000) -> DataFrame:
-    """``docs`` with lang_pred and score, learned from its ``usable`` rows (all with a lang by default)."""
-    model = fit(docs, F.lit(True) if usable is None else usable, sample)
+def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with lang_pred and score; only texts go to Python, and only answers come back."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    A.small_batches(docs.sparkSession)
-    names = [*docs.columns, "lang_pred", "score"]
-    named = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
-    def predict(batches):
-        for batch in batches:
-            for rows, data, offsets in A.text_slices(batch):
-                known = rows["has_letter"].to_numpy()
+    def predict(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, letter in parts:
+            out = []
+            for rows, data, offsets in A.text_slices(pa.RecordBatch.from_arrays([text, letter], ["text", "letter"])):
+                known = rows["letter"].to_numpy()
                 lang, score = held.value.predict(data, offsets) if held.value else (np.full(len(known), "und", object), np.zeros(len(known)))
-                lang, score = np.where(known, lang, "und"), np.where(known, score, 0.0)
-                columns = [c.combine_chunks() for c in rows.drop(["has_letter"]).columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
+                out.append(pa.StructArray.from_arrays([pa.array(np.where(known, lang, "und"), pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], ["lang_pred", "score"]))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    A.small_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
+    named = docs.withColumn("lang_pred", F.arrow_udf(predict, "lang_pred string, score double")("text", _letter()))
+    return named.select(*(F.col(f"`{c}`") for c in docs.columns), "lang_pred.lang_pred", "lang_pred.score")
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return named.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+def _letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def identify(docs: DataFrame, usable: Column | None = None, sample: int = 2000) -> DataFrame:
+    """``docs`` with lang_pred and score, learned from its ``usable`` rows (all with a lang by default)."""
+    return _predicted(docs, fit(docs, F.lit(True) if usable is None else usable, sample))
+
+
+def recognised(docs: DataFrame, least: float = 0.4, sample: int = 2000) -> DataFrame:
+    """The rows of ``docs`` whose language is told: those of ``und`` go, and those with a score below ``least``.
+
+    Each of the two decisions scores 0.5 where it is a coin's, 0.25 together; clear ones are near 1. Where nothing can be learned, all
+    texts with a letter stay.
+    """
+    model = fit(docs, F.lit(True), sample)
+    if model is None:
+        return docs.where(_letter())
+    old = docs.columns
+    if not {"lang_pred", "score"} & set(old):
+        return _predicted(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in old))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in old)).alias("r"), "text")  # columns of these names stay what they are
+    return _predicted(packed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("r.*")

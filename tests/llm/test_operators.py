@@ -213,6 +213,50 @@ def test_jaccard_odd_ids(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_row_of_each_near_copy_stays(spark):
+    from causeway.llm.ngram_join import without_near_copies
+
+    long, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59))
+    rows = [(None, long), (None, long), (7, long), (5, near), (5, near), (5, "q r s t u v"), (9, "q R s t u v"), (8, None), (8, None), (3, ""), (11, "only one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"text_hash": F.lit(1), "r": F.lit("r"), "node": F.map_from_arrays(F.array(F.lit(1)), F.array(F.lit(2)))})
+    got = without_near_copies(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(None, long), (None, long), (5, near), (5, "q r s t u v"), (8, None), (8, None), (3, ""), (11, "only one")], key=str)
+    assert without_near_copies(df.limit(0)).count() == 0
+
+
+def test_bounds_lose_no_pair():
+    from causeway.llm import ngram_join as j
+
+    r = random.Random(8)
+    for trial in range(20):
+        percent, sets = (80, 90, 60)[trial % 3], []
+        bases = [r.sample(range(5000), 200) for _ in range(3)]
+        for _ in range(30):  # all share some n-grams, few are similar
+            s = set(range(5000, 5020)) | set(r.choice(bases)[: r.choice([150, 200])])
+            for _ in range(r.randrange(40)):
+                s.discard(r.choice(sorted(s)))
+            sets.append(sorted(s))
+        grams = A.mix(np.concatenate(sets).astype(np.uint64))
+        sizes, nodes = np.array([len(s) for s in sets]), np.arange(1, 31)
+        level = np.bincount(np.unique(grams, return_inverse=True)[1])[np.unique(grams, return_inverse=True)[1]] > 1
+        halves = [j.close(e, percent, tight=True) for e in np.array_split(j.entries(grams, sizes, nodes, level.astype(np.uint8), percent), 2)]  # two blocks of rows
+        found, links = j.close(np.concatenate([h[0] for h in halves]), percent)
+        top = {n: n for n in range(31)}
+
+        def root(x):
+            return x if top[x] == x else root(top[x])
+
+        for a, b in np.concatenate([links, *(h[1] for h in halves)]).tolist():
+            top[max(root(a), root(b))] = min(root(a), root(b))
+        for a in range(30):
+            for b in range(a):
+                both = len(set(sets[a]) & set(sets[b]))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    assert root(a + 1) == root(b + 1)
+        assert percent < 80 or len({root(k) for k in range(1, 31)}) > 1  # the bound is good for something
+
+
 def test_linked_rows_by_force():
     from causeway.llm.ngram_join import linked_rows
 
@@ -227,7 +271,7 @@ def test_linked_rows_by_force():
                 s.add(r.randrange(1000, 1010))
             sets.append(s)
         grams = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
-        got = linked_rows(grams, np.array([len(s) for s in sets]), 90, cells=(50, 4_000_000)[trial % 2])
+        got, _ = linked_rows(grams, np.array([len(s) for s in sets]), 90, cells=(50, 4_000_000)[trial % 2])
         top = list(range(len(sets)))
         for _ in sets:
             for a in range(len(sets)):
@@ -366,8 +410,9 @@ def test_language(spark):
         rows.append((k, " ".join("".join(r.choice(syllables[lang]) for _ in range(3)) for _ in range(r.randrange(5, 60))), lang, "s", 1))
     odd = [None, "", "123 !!", "\n", "é"]
     rows += [(1000 + k, t, None, "s", 1) for k, t in enumerate(odd)]
-    df = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit(1), "has_letter": F.lit(5)}).drop("has_letter")
+    df = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit(1), "has_letter": F.lit(5), "letter": F.lit("l"), "h": F.col("doc_id"), "odd": F.struct(F.lit(1).alias("a b-c"))})
     got = {x.doc_id: x for x in identify(df, F.col("doc_id") % 3 != 1, sample=200).collect()}
+    assert all((x.has_letter, x.letter, x.h, x.odd[0]) == (5, "l", x.doc_id, 1) for x in got.values())
     held = [x for x in rows if x[0] < 1000 and x[0] % 3 == 1]
     assert sum(got[x[0]].lang_pred == x[2] for x in held) > 0.97 * len(held)
     assert [got[1000 + k].lang_pred for k in range(4)] == ["und"] * 4 and got[1004].lang_pred in syllables
@@ -376,6 +421,24 @@ def test_language(spark):
     assert [x.lang_pred for x in nothing] == ["und"]
     one = identify(df.where("lang = 'en' or lang is null")).where("doc_id = 1004").first()
     assert one.lang_pred == "en" and identify(df.limit(0)).count() == 0
+    hot = df.union(df.where("doc_id = 3").select(*[F.explode(F.sequence(F.lit(1), F.lit(400))).alias("k"), "*"]).drop("k"))
+    assert identify(hot, sample=50).where("lang = lang_pred").count() > 700  # one row four hundred times
+
+
+def test_language_rejects(spark):
+    from causeway.llm.language import recognised
+
+    r = random.Random(2)
+    syllables = {"en": ["th", "er", "on"], "de": ["sch", "ung", "ei"], "fr": ["eau", "ou", "qu"]}
+    rows = [(k, " ".join("".join(r.choice(syllables[v]) for _ in range(3)) for _ in range(30)), v, "s", 1) for k in range(150) for v in [("en", "de", "fr")[k % 3]]]
+    rows += [(200, None, "en", "s", 1), (201, "12 34", "en", "s", 1), (None, rows[0][1], None, "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("mine"))
+    got = recognised(df)
+    assert got.schema.simpleString() == df.schema.simpleString() and {x.doc_id for x in got.collect()} == {None, *range(150)} and got.where("lang_pred = 'mine'").count() == 151
+    assert recognised(df, least=1.1).count() == 0
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))  # nothing to learn: what has a letter stays
+    assert {x.doc_id for x in recognised(nothing).collect()} == {None, *range(150)}
+    assert recognised(df.limit(0)).count() == 0
 
 
 # 8
