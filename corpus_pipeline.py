@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.decontaminate import without_contaminated
-from causeway.llm.language import identify
-from causeway.llm.ngram_join import jaccard_components
+from causeway.llm.language import recognised
+from causeway.llm.ngram_join import without_near_copies
 from causeway.llm.packing import pack
 from causeway.llm.queries import tokenizer
 from causeway.llm.substring_dedup import remove_repeats
@@ -22,15 +22,13 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: null texts and texts without a letter."""
-    return identify(docs).where("lang_pred <> 'und'").select(docs.columns)
+    """Documents whose language can't be told go: null texts, texts without a letter, and those on which the machines are in doubt throughout."""
+    return recognised(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id stays; documents without words stay."""
-    found = jaccard_components(docs, SHINGLE, PERCENT)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """Of each component of linked documents one row stays; rows without words or without an id stay."""
+    return without_near_copies(docs, SHINGLE, PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
