@@ -500,28 +500,79 @@ def test_toxicity(spark):
     assert score_toxicity(docs.limit(0), lab, F.lit(True)).count() == 0
 
 
-def test_kneser_ney_estimates_sum_to_one():
+def kneser_ney_by_force(docs, t):
+    """Ratio of a word, by the textbook: docs are (text, class)."""
+    pad, c = "\2" * (t.ORDER - 1), [collections.Counter(), collections.Counter()]
+    split = lambda x: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(ch.lower() if len(ch.lower()) == 1 else ch for ch in x or ""))
+    cut = lambda w: [(pad + w + "\3")[i : i + t.ORDER] for i in range(len(w) + 1)]
+    for text, y in docs:
+        for w in set(split(text)):
+            c[y].update(cut(w))
+    levels = {t.ORDER: c[0] + c[1]}
+    for k in range(t.ORDER - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+
+    def shared(g):
+        table = levels[len(g)]
+        if len(g) == 1:
+            return table[g] / sum(table.values())
+        same = [n for x, n in table.items() if x[:-1] == g[:-1]]
+        return (max(table[g] - t.DISCOUNT, 0) + t.DISCOUNT * len(same) * shared(g[1:])) / sum(same)
+
+    def chance(g, y):
+        same = [n for x, n in c[y].items() if x[:-1] == g[:-1]]
+        left = t.DISCOUNT * len(same) + t.STRENGTH
+        seen = g in levels[t.ORDER]  # else the shared estimate is the same in both
+        return (max(c[y][g] - t.DISCOUNT, 0) + left * (shared(g) if seen else 1)) / (sum(same) + t.STRENGTH)
+
+    known = {}
+
+    def ratio(w):
+        if w not in known:
+            known[w] = sum(np.log(chance(g, 1)) - np.log(chance(g, 0)) for g in cut(w))
+        return known[w]
+
+    def features(text):
+        r = [(ratio(w), len(w) + 1) for w in split(text)]
+        return sum(x for x, _ in r) / max(1, sum(n for _, n in r)), sum(max(x - t.LEVEL, 0) for x, _ in r) / max(1, len(r)) ** 0.5
+
+    return features
+
+
+def test_kneser_ney_by_force(spark):
     from causeway.llm import toxicity as t
 
-    r = np.random.default_rng(0)
-    counts = r.integers(0, 3, (4, 4))
-    p = t._interpolate(counts, np.full(4, 0.25), 5.0)
-    assert np.allclose(p.sum(axis=1), 1)
-    table = t.ratio_table(np.bincount(r.integers(0, 99, 400), minlength=t.ENTRIES), np.zeros(t.ENTRIES, np.int64))
-    assert np.isfinite(table).all()
-
-
-def test_whole_texts_are_compared():
-    from causeway.llm import toxicity as t
+    r = random.Random(6)
+    some, bad = ["Ωmega", "ther", "ÇA", "onin", "日本語", "a1", "İx", "sheat"], ["vugrak", "груб", "k1ll", "壞字"]
+    texts = [" ".join(r.choice(some) + r.choice(["", "s", "ing"]) for _ in range(r.randrange(12))) + ("; " + r.choice(bad)) * (k % 4 == 0) for k in range(60)] + [None, "", "...", "new Words 新字 only", "ther " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60) if k % 5], "doc_id long, toxic int")
+    seen = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("kind"))  # all in one fold
+    counts = seen.mapInArrow(t._count, "g string, " + ", ".join(f"{c} long" for c in t._COUNTS)).groupBy("g").agg(*(F.sum(c).alias(c) for c in t._COUNTS))
+    tables = t.ratio_tables(counts)
+    features = kneser_ney_by_force([(texts[k], int(k % 4 == 0)) for k in range(60) if k % 5], t)
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.lit(t.FOLDS).alias("model"))
+    for entries in (10**6, 0):  # broadcast, and joined
+        got = {x.id: (x.f0, x.f1) for x in t._featured(rows, tables, t._held(tables, entries)).collect()}
+        assert len(got) == len(texts) and all(got[k] == pytest.approx(features(x), abs=1e-4) for k, x in enumerate(texts))
+    held_back = t._featured(rows.withColumn("model", F.lit(0)), tables, t._held(tables, 10**6)).collect()
+    assert all((x.f0, x.f1) == (0, 0) for x in held_back)  # that model has learned nothing
+
+
+@pytest.mark.parametrize("bad", [["грубый", "дурак"], ["壞字", "惡言"], ["1488x", "666"], ["idiot", "moron"]])
+def test_toxic_words_of_any_script(spark, bad):
+    from causeway.llm.toxicity import score_toxicity
 
-    ratios = np.random.default_rng(3).normal(0, 0.05, t.ENTRIES).astype(np.float32)  # no word exceeds a level
-    texts = ["some plain words", "", "others of them, again and again"]
-    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
-    got = t.text_features(ratios, data, offsets)
-    code, _, first = t._runs(data, offsets)
-    for k in (0, 2):
-        assert got[k, 4] == pytest.approx(20 * ratios[code[first[k] : first[k + 1]]].astype(float).mean())
-    assert got.shape == (3, t.FEATURES) and not got[1].any()
+    r = random.Random(3)
+    plain = ["слово", "文字", "1024", "word", "été"]
+    rows = [(k, " ".join([r.choice(plain) + r.choice(["", "a", "ка", "語", "7"]) for _ in range(r.randrange(20, 60))] + [r.choice(bad) for _ in range(6 * (k % 6 == 0))])) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    usable = F.col("doc_id") % 4 != 2
+    got = {x.doc_id: x.score for x in score_toxicity(docs, labels, usable).collect()}
+    assert sum((got[k] >= 0.3) == (k % 6 == 0) for k in range(2, 500, 4)) >= 124
+    again = {x.doc_id: x.score for x in score_toxicity(docs, labels, usable, table_entries=0).collect()}
+    assert again == pytest.approx(got, abs=1e-4)
 
 
 # 10
