@@ -1,9 +1,10 @@
 """Licence scan by canonical digest, in DataFrame functions alone.
 
-A text is brought into canonical form: A-Z as a-z; lines that state a copyright (with a sign or a
-year) go; equivalent spellings become one; all runs of ASCII characters other than letters and
+A text is brought into canonical form: A-Z as a-z; equivalent spellings become one; what opens a licence's
+text (``OPENERS``) begins a line; lines that state a copyright (with a sign or a year) go; all runs of ASCII characters other than letters and
 digits become one space, at the ends none. The SHA-256 of the whole form is looked up among those of
-known licences in a hash join. The table of known digests is a constant of this module unless
+known licences in a hash join. The table of known digests is a constant of this module (digests of the long ones as
+their stewards publish them, short ones and usual notices as texts) unless
 another one is given; Spark broadcasts it only below its own threshold of size.
 
 Null texts count as empty; what is empty in canonical form is no licence (null). Rows are kept as they
@@ -25,6 +26,7 @@ SPELLINGS = [
     ("sub-license", "sublicense"), ("sub license", "sublicense"), ("per cent", "percent"), ("merchantibility", "merchantability"), ("&", "and"), ("https://", "http://"), ("©", "(c)"),
 ]
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(all rights reserved\.?[ \t]*|(copyright[ \t:]*(\(c\)|[0-9]{4})|\(c\)[ \t]*(copyright|[0-9]{4}))[^\n]*)"
+OPENERS = r"[ \t]+((the )?(mit|isc|zlib|bsd [23]-clause) license|permission (is hereby granted|to use, copy)|redistribution and use in|this software is provided|this program is free software|(this work is )?(licensed|released|dedicated) (under|to) the|licensed under)"
 OTHER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -43,13 +45,30 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
 ]
 
+# fixed values: SHA-256 of the canonical forms of whole licence texts, as their stewards publish them
+DIGESTS = {
+    "Apache-2.0": "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "3842a16357f0cdd1e23bb92ec7360a85dcebc4d690aa011625db0b4c951608b1",
+    "GFDL-1.3": "af67fd0f1a174a4bcb2f40070ab1d7b5e3519fd4e36fa89113923de9a4638f52",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-3.0": "3c39b58d51baf32b2a21a55c429305f51cfd82e53cad05134293933580b4cd84",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     out = F.translate(F.coalesce(text, F.lit("")), upper + CHARACTERS[0], upper.lower() + CHARACTERS[1])
     out = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, out)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.regexp_replace(out, OPENERS, "\n$1"), COPYRIGHT_LINE, "\n")
     return F.trim(F.regexp_replace(out, OTHER, " "))
 
 
@@ -60,6 +79,7 @@ def canonical_sql(text: str) -> str:
     out = f"translate(coalesce({text}, ''), {quoted(upper + CHARACTERS[0])}, {quoted(upper.lower() + CHARACTERS[1])})"
     for a, b in SPELLINGS:
         out = f"replace({out}, {quoted(a)}, {quoted(b)})"
+    out = f"regexp_replace({out}, {quoted(OPENERS)}, chr(10) || '\\1', 'g')"
     return f"trim(regexp_replace(regexp_replace({out}, {quoted(COPYRIGHT_LINE)}, chr(10), 'g'), {quoted(OTHER)}, ' ', 'g'))"
 
 
@@ -73,5 +93,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, canonical_sha256, license_id) for each row of ``docs`` (doc_id, text)."""
     if known is None:
         known = docs.sparkSession.createDataFrame(KNOWN, "license_id string, text string")
+        fixed = docs.sparkSession.createDataFrame([(d, i) for i, d in DIGESTS.items()], "canonical_sha256 string, license_id string")
+        table = known_digests(known).union(fixed).groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
+    else:
+        table = known_digests(known)
     digests = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
-    return digests.join(known_digests(known), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
+    return digests.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")

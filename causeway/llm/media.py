@@ -2,7 +2,8 @@
 
 A payload becomes an 8-bit greyscale PNG image of ``width`` samples a row (lossless). Its SHA-256 is
 the name of its member in a tar shard; rows carry digest, shard, offset and length and never
-the bytes. A task writes each content once into its shards, however many rows have it. Metadata
+the bytes. A task writes each content once into the shard that is open, however many rows have it: a text in very many rows
+is stored once for each shard that one of them falls into, and all of these members have the same name. Metadata
 columns are filled from the first 33 bytes of a member, read by range; features need the whole one.
 
 Shards are written under names that no other attempt has, and the table of rows lists those of
@@ -19,17 +20,20 @@ import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.llm import arrays as A
 from causeway.llm.storage import folder, reader
 from causeway.runtime import new_folder, settled
 
 HEADER = 33
+READ_BYTES = 256 << 20
 _START = b"\x89PNG\r\n\x1a\n"
 
 
@@ -122,16 +126,18 @@ _ROWS = "media_sha256 string, shard string, media_offset long, media_bytes long,
 
 def _store(batches: Iterator[pa.RecordBatch], at: str, size: int) -> Iterator[pa.RecordBatch]:
     shards = _Shards(at, size)
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            n, payload = padded(text.as_py())
-            rows.append((*shards.put(to_png(payload)), n))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        names = [x.split()[0] for x in _ROWS.split(", ")]
-        arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", *names])
-    shards.close()
+    try:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                n, payload = padded(text.as_py())
+                rows.append((*shards.put(to_png(payload)), n))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            names = [x.split()[0] for x in _ROWS.split(", ")]
+            arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", *names])
+    finally:
+        shards.close()
 
 
 def store(docs: DataFrame, at: str | None = None, shard_bytes: int = 64 << 20) -> tuple[str, DataFrame]:
@@ -146,9 +152,13 @@ def store(docs: DataFrame, at: str | None = None, shard_bytes: int = 64 << 20) -
 def _fetched(rows: DataFrame, at: str, names: list[tuple[str, str]], length: int | None, use: Callable[[bytes, str], tuple], remember: int = 4096) -> DataFrame:
     """``rows`` with columns from the first ``length`` bytes (None: all) of each row's member; equal members are read once in a run."""
     arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in dict(names))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in dict(names)), *(T.StructField(a, {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}[b]) for a, b in names)])
 
     def read(batches):
+        with ExitStack() as opened:
+            yield from found(batches, opened)
+
+    def found(batches, opened):
         fs, top = reader(at)
         known: OrderedDict[tuple, tuple] = OrderedDict()
         file, name = None, None
@@ -157,7 +167,8 @@ def _fetched(rows: DataFrame, at: str, names: list[tuple[str, str]], length: int
             for key in zip(*(batch[c].to_pylist() for c in ("shard", "media_offset", "media_bytes", "media_sha256")), strict=True):
                 if key not in known:
                     if name != key[0]:
-                        file, name = fs.open_input_file(f"{top}/{key[0]}"), key[0]
+                        opened.close()  # one shard at a time
+                        file, name = opened.enter_context(fs.open_input_file(f"{top}/{key[0]}")), key[0]
                     file.seek(key[1])
                     known[key] = use(file.read(key[2] if length is None else length), key[3])
                     if len(known) > remember:
@@ -167,9 +178,10 @@ def _fetched(rows: DataFrame, at: str, names: list[tuple[str, str]], length: int
             kept = [c for c in batch.schema.names if c not in dict(names)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *(pa.array(c, arrow[k]) for c, (_, k) in zip(columns, names, strict=True))], [*kept, *(n for n, _ in names)])
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as the members' bytes need, and no fewer than the session's number
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum("media_bytes")).first()[0] or 0) // READ_BYTES)
     dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", "media_offset")
-    return dealt.mapInArrow(read, f"{fields}, " + ", ".join(f"{a} {b}" for a, b in names))
+    return dealt.mapInArrow(read, schema)
 
 
 def fill_metadata(rows: DataFrame, at: str) -> DataFrame:

@@ -201,7 +201,8 @@ def close(e: np.ndarray, percent: int, tight: bool = False) -> tuple[np.ndarray,
 
 def _meet(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """Links (a, b) of sets that may be similar, closed over what the bounds leave."""
-    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    # a text that very many rows repeat, id and all, is in one block for each input partition; both uses read one exchange
+    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int"))
 
     def rows(out: list[tuple]) -> pa.Table:
         columns = list(zip(*out, strict=True)) if out else [()] * 4

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.decontaminate import contaminated
 from causeway.llm.language import identify
-from causeway.llm.licenses import KNOWN, canonical_sql, scan_licenses
+from causeway.llm.licenses import DIGESTS, KNOWN, canonical_sql, scan_licenses
 from causeway.llm.media import media_columns
 from causeway.llm.ngram_join import jaccard_components
 from causeway.llm.packing import pack
@@ -94,18 +94,23 @@ QUERIES = {
 }
 
 _known = ", ".join("('" + i.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)
+_digests = ", ".join(f"('{d}', '{i}')" for i, d in DIGESTS.items())
 _words = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
     "op2_warc_revisits": f"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html, {canonical_url_sql('url')} AS c FROM pages),
-        r AS (SELECT 2 * page_id AS id, page_id AS t, c, md5(html) AS etag, sha256(html) AS digest, CAST(strlen(html) AS VARCHAR) AS size FROM p),
-        v AS (SELECT 2 * page_id + 1 AS id, page_id + 1000 AS t, c, md5(html) AS etag FROM p)
-        SELECT v.id AS record_id, v.c AS canonical_url, CASE WHEN v.etag = r.etag THEN r.id END AS response_id,
-            CASE WHEN r.id IS NULL THEN 'no_response' WHEN v.etag = r.etag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-            CASE WHEN v.etag = r.etag THEN r.digest END AS digest,
-            CASE WHEN v.etag = r.etag THEN '{{"cache-control":"max-age=60","content-length":"' || r.size || '","content-type":"text/html","date":"' || v.t || '","etag":"' || r.etag || '"}}' END AS headers
-        FROM v ASOF LEFT JOIN r ON v.c = r.c AND v.t > r.t""",
+        WITH p AS (SELECT page_id, ((page_id % 4) + 4) % 4 AS k, coalesce(html, '') AS html, {canonical_url_sql('url')} AS c FROM pages),
+        x AS (SELECT page_id, k, c, md5(html) AS etag, sha256(html) AS digest, CAST(strlen(html) AS VARCHAR) AS size FROM p),
+        r AS (SELECT 2 * page_id AS id, page_id AS t, * EXCLUDE (k, page_id) FROM x),
+        v AS (SELECT 2 * page_id + 1 AS id, page_id + 1000 AS t, * EXCLUDE (page_id) FROM x),
+        m AS (SELECT v.id AS record_id, v.c AS canonical_url, v.t AS t, r.id AS response_id, r.digest AS digest, r.size AS size, r.etag AS etag,
+                CASE WHEN r.id IS NULL THEN 'no_response' WHEN v.k = 3 THEN 'unverified'
+                     WHEN (v.k = 0 AND v.etag = r.etag) OR (v.k = 1 AND v.digest = r.digest) OR (v.k = 2 AND v.size = r.size) THEN 'resolved' ELSE 'mismatch' END AS outcome
+              FROM v ASOF LEFT JOIN r ON v.c = r.c AND v.t > r.t),
+        g AS (SELECT *, outcome IN ('resolved', 'unverified') AS good FROM m)
+        SELECT record_id, canonical_url, CASE WHEN good THEN response_id END AS response_id, outcome, CASE WHEN good THEN digest END AS digest,
+            CASE WHEN good THEN '{{"cache-control":"max-age=60","content-length":"' || size || '","content-type":"text/html","date":"' || t || '","etag":"' || etag || '"}}' END AS headers
+        FROM g""",
     "op4_ngram_jaccard": f"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_lower}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
         g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
@@ -124,8 +129,9 @@ ORACLES = {
         s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM k GROUP BY doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)""",
     "op3_license_scan": f"""
-        WITH known AS (SELECT sha256(form) AS canonical_sha256, min(license_id) AS license_id
-                       FROM (SELECT license_id, {canonical_sql('text')} AS form FROM (VALUES {_known}) v(license_id, text)) WHERE form <> '' GROUP BY 1)
+        WITH forms AS (SELECT license_id, {canonical_sql('text')} AS form FROM (VALUES {_known}) v(license_id, text)),
+        known AS (SELECT canonical_sha256, min(license_id) AS license_id
+                  FROM (SELECT sha256(form) AS canonical_sha256, license_id FROM forms WHERE form <> '' UNION ALL SELECT * FROM (VALUES {_digests}) d(canonical_sha256, license_id)) GROUP BY 1)
         SELECT doc_id, canonical_sha256, license_id
         FROM (SELECT doc_id, sha256({canonical_sql('text')}) AS canonical_sha256 FROM documents) LEFT JOIN known USING (canonical_sha256)""",
 }

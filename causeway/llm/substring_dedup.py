@@ -6,15 +6,15 @@ text, the same one included) is removed; all occurrences go. Judged on the input
 The index holds non-overlapping blocks of ``(window + 1) // 2`` words of each text: any run
 of ``window`` words contains one of them whole. All rolling windows of that size probe the
 index. A run is a candidate if its own block was met at another place; candidates are then
-extended to ``window`` words and compared, so that overlapping ones give the maximal repeats.
+extended to ``window`` words and compared by 64-bit hashes of the whole run, so that overlapping ones give the maximal repeats.
 
-Texts are dealt into groups of a few MB by a hash of the row. A group sends each bucket of
+Texts are dealt into groups of a few MB by a hash of id, text and input partition. A group sends each bucket of
 hashes one packed list without its own repeats (so a passage in a third of all texts costs
-a bucket one entry per group), and gets back one bit for each entry. Nothing is collected,
-no group grows with the number of copies of a text.
+a bucket one entry per group), and gets back one bit for each entry. Nothing is collected; a text
+that very many rows repeat, id and all, is in one group for each input partition.
 
 Null texts count as empty; texts shorter than the window keep all words. Null or repeated ids
-are ordinary rows. Kept words are joined by one space. Extra columns are passed through; those
+are ordinary rows. Kept words are joined by one space. Extra columns are passed through whatever their names; those
 called n_words or n_removed give way to the operator's.
 """
 
@@ -107,8 +107,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 8 << 20
     A.small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
-    names = docs.columns
-    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    # the same columns for each use, so that all read one exchange; the others travel packed, their names can't clash
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    dealt = docs.select("doc_id", "text", packed.alias("others"), F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("grp"))
 
     def probe(key, table):
         g = _Group(table, window, n)
@@ -161,7 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 8 << 20
         depth[starts] += 1
         depth[starts + window] -= 1
         gone = np.cumsum(depth)[: int(g.first[-1])] > 0
-        out = _kept(g, gone).select([*names, "n_words", "n_removed"])
+        out = _kept(g, gone).select(["doc_id", "text", "others", "n_words", "n_removed"])
         del g, depth, gone, of, hashes
         A.release()
         return out
@@ -170,8 +172,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 8 << 20
     met = probes.groupBy("bucket").applyInArrow(meet, _LISTS)
     runs = dealt.groupBy("grp").cogroup(met.groupBy("grp")).applyInArrow(extend, _LISTS)
     again = runs.groupBy("bucket").applyInArrow(compare, _LISTS)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return dealt.groupBy("grp").cogroup(again.groupBy("grp")).applyInArrow(remove, schema)
+    schema = T.StructType([*dealt.drop("grp").schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = dealt.groupBy("grp").cogroup(again.groupBy("grp")).applyInArrow(remove, schema)
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns), "n_words", "n_removed")
 
 
 def _answers(table: pa.Table, sizes: np.ndarray, bits: np.ndarray) -> pa.Table:

@@ -9,7 +9,8 @@ before it in the file and of its own (8 bytes each), so that readers can fetch a
 Documents are dealt by ranges of ids, so that files in order hold ascending ids (null ids first,
 equal ids ordered by text). A file is written under a name that no other attempt has, and the
 table of files lists those of finished tasks only: a lost executor leaves a file that nothing
-refers to. Null texts count as empty.
+refers to. Null texts count as empty; ids must be of a whole-number type (ValueError otherwise). Repeated rows are records each; an
+empty table gives no files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.llm import arrays as A
 from causeway.llm.storage import folder, reader
 from causeway.llm.tokens import encoder
 from causeway.runtime import new_folder, settled
 
+FILE_BYTES = 256 << 20
 _SPAN = 256
 _BATCH = 1024
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("before", "<u8"), ("ids", "<u8")])
@@ -114,27 +118,28 @@ def unframe(record: bytes) -> bytes:
 
 def _write(batches: Iterator[pa.RecordBatch], at: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, fs, top = encoder(path).encode, *folder(at)
-    part, name, out, index, offset, ids_before = TaskContext.get().partitionId(), "", None, [], 0, 0
-    for batch in batches:
-        for k in range(0, len(batch), _BATCH):
-            few = batch.slice(k, _BATCH)
-            payloads = []
-            for doc_id, ids in zip(few["doc_id"].to_pylist(), encode(few["text"].to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(end_id))
-                width = 2 if ids.max() < 65536 else 4
-                payloads.append(struct.pack("<q?B", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes())
-                index.append([0, 0, ids_before, len(ids)])
-                ids_before += len(ids)
-            if out is None:
-                name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
-                out = fs.open_output_stream(f"{top}/{name}.rec")
-            records = frames(payloads)
-            for entry, record in zip(index[-len(records) :], records, strict=True):
-                entry[:2] = offset, len(record)
-                offset += len(record)
-            out.write(b"".join(records))
+    part, name, index, offset, ids_before = TaskContext.get().partitionId(), "", [], 0, 0
+    with ExitStack() as opened:
+        out = None
+        for batch in batches:
+            for k in range(0, len(batch), _BATCH):
+                few = batch.slice(k, _BATCH)
+                payloads = []
+                for doc_id, ids in zip(few["doc_id"].to_pylist(), encode(few["text"].to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(end_id))
+                    width = 2 if ids.max() < 65536 else 4
+                    payloads.append(struct.pack("<q?B", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes())
+                    index.append([0, 0, ids_before, len(ids)])
+                    ids_before += len(ids)
+                if out is None:
+                    name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
+                    out = opened.enter_context(fs.open_output_stream(f"{top}/{name}.rec"))
+                records = frames(payloads)
+                for entry, record in zip(index[-len(records) :], records, strict=True):
+                    entry[:2] = offset, len(record)
+                    offset += len(record)
+                out.write(b"".join(records))
     if out is not None:
-        out.close()
         with fs.open_output_stream(f"{top}/{name}.idx") as side:
             side.write(np.array([tuple(x) for x in index], _INDEX).tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "records": [len(index)], "ids": [ids_before], "bytes": [offset]}, _FILES)
@@ -148,7 +153,11 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | None
     spark = docs.sparkSession
     at = at or new_folder(spark, "tokens")
     A.small_batches(spark)
-    ordered = docs.select("doc_id", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be a whole number: records hold it in 8 bytes")
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes // FILE_BYTES)  # no file needs more than its share of the text
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     files = settled(ordered.mapInArrow(lambda it: _write(it, at, tokenizer, end_id), "part long, name string, records long, ids long, bytes long"), "files")
     # one row per file: the running sum is over a few numbers, however long the files are
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -182,6 +191,6 @@ def _read(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[pa.RecordBatch
 
 def read_summary(at: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every record, from the files; one task reads some files one after another."""
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), (files.agg(F.sum("bytes")).first()[0] or 0) // FILE_BYTES)
     dealt = files.select("name", "start").repartition(n, "name")
     return dealt.mapInArrow(lambda it: _read(it, at), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -133,7 +135,9 @@ def test_revisits(spark):
         kind = r.choice(["response", "revisit"])
         rows.append((k, kind, url, r.choice([None, *range(60)]), r.choice([None, '"1"', 'W/"1"', '"2"']), r.choice([None, "m1", "m2"]), r.choice([None, "d1", "d2"]), r.choice([None, {"Date": str(k), "Content-Length": "9", "X-A": "b"}])))
     canon = {"http://a.com/x": "a.com/x", "https://www.A.com/x/#f": "a.com/x", "http://a.com/x?utm_source=q": "a.com/x", "http://b.org/?b=2&a=1": "b.org?a=1&b=2", "http://b.org/?a=1&b=2": "b.org?a=1&b=2", "http://hot/": "hot", None: None}
+    alone = resolve_revisits(records(spark, rows)).collect()  # in one span
     got = {x.record_id: x for x in resolve_revisits(records(spark, rows), spans=8).collect()}
+    assert got == {x.record_id: x for x in alone}
     assert set(got) == {x[0] for x in rows if x[1] == "revisit"}
     for x in rows:
         if x[1] != "revisit":
@@ -168,10 +172,34 @@ def test_licenses(spark):
     assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: None, 6: "MIT", 7: "MIT", 8: "MIT"}
     own = spark.createDataFrame([("B", "Some Text"), ("A", "some text!"), ("E", "  ")], "license_id string, text string")
     assert [r.license_id for r in scan_licenses(make_docs(spark, ["SOME  text"]), own).collect()] == ["A"]
+    heads = ["Copyright (c) 2020 Jane Q. Public. ", "Copyright 1999, 2001 by the Authors, all rights reserved\n", "(c) 2011 Foo Inc. "]
+    for head in heads:  # on the licence's own line, too
+        one = {r.doc_id: r.license_id for r in scan_licenses(make_docs(spark, [head + t.replace("license", "licence") for _, t in KNOWN])).collect()}
+        assert one == {k: i for k, (i, _) in enumerate(KNOWN)}, head
     plan = scan_licenses(make_docs(spark, texts))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_whole_licences_by_digest(spark, tmp_path):
+    from causeway.llm.licenses import DIGESTS
+    from causeway.llm.queries import ORACLES, op3_license_scan
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    if not os.path.isdir(folder):
+        pytest.skip("the licences are not here")
+    texts = []
+    for name in names.values():
+        with open(f"{folder}/{name}", encoding="utf-8") as f:
+            texts.append(f.read())
+    make_docs(spark, texts + [t.upper().replace("  ", "\t") for t in texts] + ["no licence", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.license_id for r in op3_license_scan(spark, str(tmp_path)).collect()}
+    assert set(names) <= set(DIGESTS) and got == dict(enumerate([*names, *names, None, None]))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {r[0]: r[2] for r in duck.execute(ORACLES["op3_license_scan"]).fetchall()} == got
+
+
 # 4
 
 
@@ -392,6 +420,8 @@ def test_token_files(spark, tokenizers, tmp_path):
     name = files.orderBy("part").first()["name"]
     whole = list(f.read_records(at, name))
     assert [x[0] for x in f.read_records(at, name, np.array([1, 0]))] == [1, 0] and len(whole) > 1
+    with pytest.raises(ValueError):
+        f.write_files(docs.withColumn("doc_id", F.lit("a")), path)
     empty = f.write_files(make_docs(spark, []), path)
     assert f.read_summary(*empty).count() == 0
 
@@ -449,7 +479,11 @@ def test_substring_dedup(spark, window):
     from causeway.llm.substring_dedup import remove_repeats
 
     texts = corpus(7, 80)
-    got = {r.doc_id: r for r in remove_repeats(make_docs(spark, texts, True), window, group_bytes=3000).collect()}
+    docs = make_docs(spark, texts, True).withColumns({"others": F.struct(F.col("doc_id").alias("a b")), "grp": F.concat(F.lit("g"), "doc_id"), "a b": F.lit(4)})
+    out = remove_repeats(docs, window, group_bytes=3000)
+    got = {r.doc_id: r for r in out.collect()}
+    assert all((r.grp, r.others[0], r["a b"], r.source, r.node) == (f"g{k}", k, 4, f"s{k % 2}", 3) for k, r in got.items())
+    assert out.columns == [*docs.drop("n_words").columns, "n_words", "n_removed"]
     split = [words(t) for t in texts]
     count = collections.Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
     for k, w in enumerate(split):
@@ -662,6 +696,19 @@ def test_decontamination_of_short_items(spark):
     assert got == {(0, 0), (2, 1), (5, 4), (7, 5), (8, 6)}
 
 
+def test_repeated_rows_of_many_operators(spark, tokenizers):
+    """A third of all rows is one row: each of its copies gets a row, and the same one."""
+    from causeway.llm import licenses, media, packing, substring_dedup
+
+    docs = make_docs(spark, [" ".join(f"w{k}" for k in range(50)), "some other text", None])
+    docs = docs.union(docs.where("doc_id = 0").select(*[F.explode(F.sequence(F.lit(1), F.lit(40))).alias("k"), "*"]).drop("k")).repartition(4)
+    assert media.media_columns(docs).where("doc_id = 0").groupBy("media_sha256", "feature").count().collect()[0]["count"] == 41
+    assert licenses.scan_licenses(docs).where("doc_id = 0").count() == 41
+    assert substring_dedup.remove_repeats(docs).where("n_removed = 50 and text = ''").count() == 41
+    pieces = packing.pack(docs, tokenizers[1].path("word_bpe_49k.json")).where("doc_id = 0").groupBy("doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert len(pieces) == 1 and pieces[0].n == 41 * pieces[0].doc_tokens
+
+
 # pipeline
 
 
