@@ -93,6 +93,51 @@ def solve(g: Sequence[Sequence], c: Sequence) -> list:
     return [det([[c[r] if k == j else g[r][k] for k in range(len(c))] for r in range(len(c))]) / whole for j in range(len(c))]
 
 
+def choose(condition, yes, no):
+    """``yes`` where the condition holds, else ``no``, which alone is evaluated there."""
+    if isinstance(condition, Sql):
+        return Sql(f"CASE WHEN {condition} THEN {Sql(yes)} ELSE {Sql(no)} END")
+    if isinstance(condition, Column):
+        return F.when(condition, yes).otherwise(no)
+    return yes if condition else no
+
+
+def above(a, b):
+    return Sql(f"({a} > {b})") if isinstance(a, Sql) else a > b
+
+
+#: A regressor of which less than this share is left besides those before it is redundant; a variance of less than ``NOTHING`` of a target's mean square is none.
+REDUNDANT, NOTHING = 1e-10, 1e-12
+
+
+def elimination(moment: Callable[[str, str], object], y: str, regressors: Sequence[str], named: Callable[[str], object], out: str, ridge: float = 0.0) -> list[dict]:
+    """Steps (name to expression, each on those before it by ``named``) to the residual variance ``out`` of a least-squares fit without an intercept.
+
+    Regressors are eliminated one after another; a redundant one (zero, or a combination of those before it) gets no
+    weight, which leaves the fitted values those of any least-squares solution. Coefficients are ``out``_b0, ...
+    """
+    n, steps = len(regressors), []
+    d, l, z = (lambda j: named(f"{out}_d{j}")), (lambda i, j: named(f"{out}_l{i}_{j}")), (lambda j: named(f"{out}_z{j}"))  # noqa: E741
+    g = lambda i, j: moment(regressors[i], regressors[j]) + ridge if ridge and i == j else moment(regressors[i], regressors[j])
+
+    def less(value, parts):
+        for part in parts:
+            value = value - part
+        return value
+
+    for j in range(n):
+        steps.append({f"{out}_d{j}": less(g(j, j), (l(j, i) * l(j, i) * d(i) for i in range(j)))})
+        some = above(d(j), g(j, j) * REDUNDANT)
+        step = {f"{out}_l{m}_{j}": choose(some, less(g(m, j), (l(m, i) * l(j, i) * d(i) for i in range(j))) / d(j), 0.0) for m in range(j + 1, n)}
+        steps.append(step | {f"{out}_z{j}": choose(some, less(moment(regressors[j], y), (l(j, i) * d(i) * z(i) for i in range(j))) / d(j), 0.0)})
+    for j in reversed(range(n)):
+        steps.append({f"{out}_b{j}": less(z(j), (l(m, j) * named(f"{out}_b{m}") for m in range(j + 1, n)))})
+    b = [named(f"{out}_b{j}") for j in range(n)]
+    steps.append({f"{out}_all": residual_covariance(moment, y, y, regressors, b, b)})
+    steps.append({out: choose(above(named(f"{out}_all"), moment(y, y) / moment("1", "1") * NOTHING), named(f"{out}_all"), 0.0)})
+    return steps
+
+
 def fit(moment: Callable[[str, str], object], y: str, regressors: Sequence[str], ridge: float = 0.0) -> list:
     """Least-squares coefficients without an intercept; ``moment(a, b)`` is the sum of a * b over the rows, "1" the constant."""
     g = [[moment(a, b) + ridge if ridge and a == b else moment(a, b) for b in regressors] for a in regressors]

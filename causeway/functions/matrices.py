@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -39,6 +40,37 @@ def residual_covariance(m: np.ndarray, targets: list[int], regressors: list[int]
     return squares / n - np.outer(mean, mean)
 
 
+def order_moments(size: int, total: np.ndarray, sums: np.ndarray, head: np.ndarray, tail: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order the sums of products of (1, samples, lags) over its usable rows, without the rows themselves.
+
+    ``sums[h]`` is that of x(s) x(s - h)' over a series of ``size`` samples, ``head`` and ``tail`` are its first and last ones.
+    A product of lags a <= b over the rows from p on is sums[b - a] without its first p - a and last a samples.
+    """
+    most, n = len(sums) - 1, len(total)
+    first = np.zeros((most + 1, most + 1, n, n))  # [h, m]: of the samples s < m
+    last = np.zeros((most + 1, most + 1, n, n))  # [h, a]: of the last a samples
+    for h in range(most + 1):
+        for m in range(1, min(most, len(head)) + 1):
+            first[h, m] = first[h, m - 1] + (np.outer(head[m - 1], head[m - 1 - h]) if m - 1 >= h else 0)
+        for a in range(1, len(tail) - h + 1):
+            last[h, a] = last[h, a - 1] + np.outer(tail[-a], tail[len(tail) - a - h])
+    starts = np.concatenate([np.zeros((1, n)), np.cumsum(head, axis=0)])
+    ends = np.concatenate([np.zeros((1, n)), np.cumsum(tail[::-1], axis=0)])
+    for p in range(1, most + 1):
+        if size - p <= n * p:
+            return
+        m = np.zeros((1 + n * (p + 1),) * 2)
+        m[0, 0] = size - p
+        for a in range(p + 1):
+            rows = slice(1 + n * a, 1 + n * (a + 1))
+            m[0, rows] = m[rows, 0] = total - starts[p - a] - ends[a]
+            for b in range(a, p + 1):
+                h, columns = b - a, slice(1 + n * b, 1 + n * (b + 1))
+                m[rows, columns] = sums[h] - first[h, p - a] - last[h, a]
+                m[columns, rows] = m[rows, columns].T
+        yield p, m
+
+
 def lag_matrix(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Targets and the lags 1..order of all channels, lag by lag."""
     t = len(data)

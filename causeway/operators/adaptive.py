@@ -42,11 +42,11 @@ def discounted(df: DataFrame, target: str, regressors: tuple[str, str], forgetti
 
     After k updates it is the ridge solution of exponentially discounted sums. Weights are
     rebased in each block of ``block`` updates, so that they neither overflow nor vanish: a block's own sums are a
-    window within it, those of all blocks before it one number per block.
+    window within it; what it inherits is carried once over the blocks' last rows, a task for each series. Times are a grid without gaps.
     """
     a, b = regressors
-    w = Window.partitionBy("series_id").orderBy("t")
-    rows = lagged(df, list(dict.fromkeys(regressors)), 1).withColumn("k", F.row_number().over(w) - 1)
+    start = df.groupBy("series_id").agg(F.min("t").alias("start"))
+    rows = lagged(df, list(dict.fromkeys(regressors)), 1).join(start, "series_id").withColumn("k", F.col("t") - F.col("start") - 1).drop("start")
     a1, b1 = F.col(f"{a}_1"), F.col(f"{b}_1")
     products = {"g00": a1 * a1, "g01": a1 * b1, "g11": b1 * b1, "c0": a1 * F.col(target), "c1": b1 * F.col(target)}
     rows = rows.withColumns({"blk": F.floor(F.col("k") / block), "at": F.col("k") % block})
@@ -54,10 +54,20 @@ def discounted(df: DataFrame, target: str, regressors: tuple[str, str], forgetti
     inner = Window.partitionBy("series_id", "blk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"s_{c}": F.sum(v * weight).over(inner) * F.pow(F.lit(forgetting), F.col("at").cast("double")) for c, v in products.items()})
     ends = rows.groupBy("series_id", "blk").agg(F.count("*").alias("n"), *(F.max_by(f"s_{c}", "k").alias(f"e_{c}") for c in products))
-    # what a block inherits: the discounted sums at the ends of the blocks before it
-    earlier = Window.partitionBy("series_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    past = {f"p_{c}": F.coalesce(F.aggregate(F.collect_list(F.struct("n", F.col(f"e_{c}").alias("e"))).over(earlier), F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(forgetting), x["n"].cast("double")) + x["e"]), F.lit(0.0)) for c in products}
-    rows = rows.join(ends.withColumns(past).select("series_id", "blk", *past), ["series_id", "blk"])
+
+    sums = list(products)  # names alone, for the tasks
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What a block inherits: the discounted sums at the ends of the blocks before it."""
+        pdf = pdf.sort_values("blk")
+        held, out = np.zeros(len(sums)), np.empty((len(pdf), len(sums)))
+        for k, (n, e) in enumerate(zip(pdf["n"].to_numpy(), pdf[[f"e_{c}" for c in sums]].to_numpy(), strict=True)):
+            out[k] = held
+            held = held * forgetting ** float(n) + e
+        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy(), "blk": pdf["blk"].to_numpy()} | {f"p_{c}": out[:, k] for k, c in enumerate(sums)})
+
+    past = ends.groupBy("series_id").applyInPandas(carried, f"series_id {df.schema['series_id'].dataType.simpleString()}, blk long, " + ", ".join(f"p_{c} double" for c in sums))
+    rows = rows.join(past, ["series_id", "blk"])
     faded = F.pow(F.lit(forgetting), F.col("at").cast("double") + 1)
     total = {c: F.col(f"s_{c}") + F.col(f"p_{c}") * faded for c in products}
     ridge = F.pow(F.lit(forgetting), F.col("k").cast("double") + 1) / 1000.0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import algebra as G
@@ -15,23 +16,26 @@ from causeway.operators.lags import KEYS, Moments, lag_names, lagged
 from causeway.sources.series import channels
 
 
-def _of(m: Moments, target: str, own: list[str], full: list[str], ridge: float = 0.0) -> tuple[Column, Column]:
-    return G.residual_variance(m, target, full, ridge), G.residual_variance(m, target, own, ridge)
+def _gc(df: DataFrame, m: Callable[[str, str], Column], target: str, own: list[str], full: list[str], ridge: float = 0.0) -> DataFrame:
+    """``df`` with sigma_full, sigma_reduced and gc, step by step in columns; gc is null where a variance is zero."""
+    both = [G.elimination(m, target, r, F.col, c, ridge) for c, r in (("sigma_full", full), ("sigma_reduced", own))]
+    for a, b in zip_longest(*both, fillvalue={}):
+        df = df.withColumns(a | b)
+    return df.withColumn("gc", F.when((F.col("sigma_full") > 0) & (F.col("sigma_reduced") > 0), F.log(F.col("sigma_reduced") / F.col("sigma_full"))))
 
 
 def conditional_gc(df: DataFrame, source: str, target: str, conditioning: Sequence[str] = (), order: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, n_obs, sigma_full, sigma_reduced, gc) of source -> target given the conditioning channels.
 
-    Up to three regressors are solved in columns; more of them on one row per series.
+    Up to three regressors are solved in columns; more of them on one row per series. Redundant regressors (zero, repeated or collinear
+    channels) change nothing; where the target has no residual variance, gc is null.
     """
     names = [target, source, *conditioning]
     full, own = lag_names(names, order), lag_names([target, *conditioning], order)
     m = Moments([target, *full])
     rows = m.of(lagged(df, names, order, keys), keys)
     if len(full) <= 3:
-        sigma_full, sigma_reduced = _of(m, target, own, full)
-        out = rows.select(*keys, m("1", "1").cast("long").alias("n_obs"), sigma_full.alias("sigma_full"), sigma_reduced.alias("sigma_reduced"))
-        return out.withColumn("gc", F.log(F.col("sigma_reduced") / F.col("sigma_full")))
+        return _gc(rows, m, target, own, full).select(*keys, m("1", "1").cast("long").alias("n_obs"), "sigma_full", "sigma_reduced", "gc")
     return _solved(rows, m, [(source, target, own, full)], keys).drop("source", "target")
 
 
@@ -50,7 +54,8 @@ def _solved(rows: DataFrame, m: Moments, pairs: list[tuple], keys: Sequence[str]
     def spread(s: np.ndarray, target: str, regressors: list[str]) -> float:
         y, x = [at[target]], [at[r] for r in regressors]
         b = M.solve_moments(s[np.ix_(x, x)] + ridge * np.eye(len(x)), s[np.ix_(x, y)])
-        return float(M.residual_covariance(s, y, x, b)[0, 0])
+        value = float(M.residual_covariance(s, y, x, b)[0, 0])
+        return value if value > s[y[0], y[0]] / s[0, 0] * G.NOTHING else 0.0
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -59,7 +64,7 @@ def _solved(rows: DataFrame, m: Moments, pairs: list[tuple], keys: Sequence[str]
                 s = M.moment_matrix(row["moments"], size)
                 for source, target, own, full in pairs:
                     a, b = spread(s, target, full), spread(s, target, own)
-                    out.append((*(row[k] for k in keys), source, target, int(s[0, 0]), a, b, float(np.log(b / a))))
+                    out.append((*(row[k] for k in keys), source, target, int(s[0, 0]), a, b, float(np.log(b / a)) if a > 0 and b > 0 else None))
             yield pd.DataFrame(out, columns=[*keys, "source", "target", "n_obs", "sigma_full", "sigma_reduced", "gc"])
 
     return rows.mapInPandas(solve, f"{types}, source string, target string, n_obs long, sigma_full double, sigma_reduced double, gc double")
@@ -74,12 +79,14 @@ def all_pairs_gc(df: DataFrame, order: int = 1, keys: Sequence[str] = KEYS) -> D
     if order > 1:
         out = _solved(rows, m, pairs, keys)
         return out.withColumns({c: F.substring(c, 2, 9).cast("int") for c in ("source", "target")})
-    parts = []
-    for s, t, own, full in pairs:
-        sigma_full, sigma_reduced = _of(m, t, own, full)
-        parts.append(F.struct(F.lit(int(s[1:])).alias("source"), F.lit(int(t[1:])).alias("target"), sigma_full.alias("sigma_full"), sigma_reduced.alias("sigma_reduced")))
-    out = rows.select(*keys, m("1", "1").cast("long").alias("n_obs"), F.explode(F.array(*parts)).alias("v")).select(*keys, "v.source", "v.target", "n_obs", "v.sigma_full", "v.sigma_reduced")
-    return out.withColumn("gc", F.log(F.col("sigma_reduced") / F.col("sigma_full")))
+    # one row for each pair, and one closed form over the places of its sums
+    roles = {"y": lambda s, t: t, "y_1": lambda s, t: f"{t}_1", "s_1": lambda s, t: f"{s}_1", "1": lambda s, t: "1"}
+    cells = [(a, b) for k, a in enumerate(roles) for b in list(roles)[k:]]
+    places = [F.struct(F.lit(int(s[1:])).alias("source"), F.lit(int(t[1:])).alias("target"), *(F.lit(m.index(roles[a](s, t), roles[b](s, t))).alias(f"i_{a}_{b}") for a, b in cells)) for s, t, _, _ in pairs]
+    each = rows.select(*keys, "moments", F.explode(F.array(*places)).alias("p"))
+    each = each.select(*keys, "p.source", "p.target", *(F.col("moments")[F.col(f"p.i_{a}_{b}")].alias(f"m_{a}_{b}") for a, b in cells))
+    of = lambda a, b: F.col(f"m_{a}_{b}" if (a, b) in cells else f"m_{b}_{a}")
+    return _gc(each, of, "y", ["y_1"], ["y_1", "s_1"]).select(*keys, "source", "target", of("1", "1").cast("long").alias("n_obs"), "sigma_full", "sigma_reduced", "gc")
 
 
 def sliding_gc(df: DataFrame, source: str, target: str, window: int, step: int, order: int = 1) -> DataFrame:
@@ -91,15 +98,16 @@ def sliding_gc(df: DataFrame, source: str, target: str, window: int, step: int,
     names = [target, source]
     full, own = lag_names(names, order), lag_names([target], order)
     m = Moments([target, *full])
-    last = df.groupBy("series_id").agg((F.floor((F.max("t") + 1 - window) / step)).alias("last"))
-    rows = lagged(df, names, order).join(last, "series_id")
+    rows = lagged(df, names, order)
     low = F.greatest(F.ceil((F.col("t") - window + 1) / step), F.lit(0))
-    high = F.least(F.floor((F.col("t") - order) / step), F.col("last"))
+    high = F.floor((F.col("t") - order) / step)
     rows = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn("w", F.explode(F.sequence("low", "high")))
-    sums = m.of(rows, ["series_id", "w"])
+    sums = rows.groupBy("series_id", "w").agg(m.column().alias("moments"), F.max("t").alias("until"))
+    # windows that the series doesn't fill go; its last time is that of its last window
+    end = F.max("until").over(Window.partitionBy("series_id"))
+    sums = sums.withColumn("end", end).where((F.col("w") * step + window) <= F.col("end") + 1).select("series_id", "w", "moments")
     if len(full) <= 3:
-        sigma_full, sigma_reduced = _of(m, target, own, full)
-        out = sums.select("series_id", "w", F.log(sigma_reduced / sigma_full).alias("gc"))
+        out = _gc(sums, m, target, own, full).select("series_id", "w", "gc")
     else:
         out = _solved(sums, m, [(source, target, own, full)], ["series_id", "w"]).select("series_id", "w", "gc")
     start = (F.col("w") * step).cast("long")
@@ -117,15 +125,18 @@ def varx_gc(df: DataFrame, inputs: Sequence[str], source: str, target: str, na:
     m = Moments([target, *full])
     sums = m.of(rows, keys)
     if len(full) <= 3:
-        sigma_full, sigma_reduced = _of(m, target, own, full, ridge)
-        out = sums.select(*keys, m("1", "1").cast("long").alias("n_obs"), sigma_full.alias("sigma_full"), sigma_reduced.alias("sigma_reduced"))
-        return out.withColumn("gc", F.log(F.col("sigma_reduced") / F.col("sigma_full")))
+        return _gc(sums, m, target, own, full, ridge).select(*keys, m("1", "1").cast("long").alias("n_obs"), "sigma_full", "sigma_reduced", "gc")
     return _solved(sums, m, [(source, target, own, full)], keys, ridge).drop("source", "target")
 
 
 ordinary_gc = pairwise_gc
 
 
+def with_inputs(df: DataFrame, inputs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``df`` with the input columns u0, ... of another table at the same times; times that one of them lacks are left out."""
+    return df.join(inputs.select(*keys, "t", *(c for c in inputs.columns if c[:1] == "u" and c[1:].isdigit())), [*keys, "t"])
+
+
 def fit_varx(df: DataFrame, inputs: Sequence[str], na: int = 1, nb: int = 1, ridge: float = 0.0, sources: Sequence[str] | None = None, include_exogenous: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, n_obs, a array<double>, b array<double>, sigma array<double>): coefficients lag by lag of all targets on ``sources`` and inputs, and residual covariance."""
     names, sources = channels(df), list(sources or channels(df))

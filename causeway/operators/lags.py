@@ -1,8 +1,7 @@
 """Lag columns and sums of products: what every least-squares operator is made of.
 
-All lags of all channels share one window specification, hence one sort; the aggregate that
-follows groups by the window's own key and needs no further shuffle. Sums of products combine before
-a shuffle, so a series costs one short row however long it is.
+All lags of all channels share one window specification, hence one sort. Sums of products combine before
+their shuffle, so a block of a series costs one short row however long it is.
 """
 
 from __future__ import annotations
@@ -16,26 +15,26 @@ from pyspark.sql import functions as F
 KEYS = ("series_id",)
 
 
-def lagged(df: DataFrame, names: Sequence[str], order: int, keys: Sequence[str] = KEYS, first: int = 1) -> DataFrame:
-    """``df`` with ``<name>_<k>``, k from ``first`` to ``order``; rows without all of them are left out."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    out = df.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for k in range(first, order + 1) for c in names})
-    return out.withColumn("_row", F.row_number().over(w)).where(F.col("_row") > order).drop("_row")
+#: Samples of a series that are sorted together.
+BLOCK = 1 << 18
 
 
-def lagged_in_blocks(df: DataFrame, names: Sequence[str], order: int, block: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The same for few but very long series on a grid without gaps: blocks of ``block`` samples, each with a halo of the
-    last ``order`` samples before it, are sorted on their own, so that one series is many tasks."""
+def lagged(df: DataFrame, names: Sequence[str], order: int, keys: Sequence[str] = KEYS, first: int = 1, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``<name>_<k>``, k from ``first`` to ``order``, on a grid of whole times with one row each.
+
+    Rows are left out of which a sample or a lag is null, or of which one of the times up to ``order`` before is missing. A series is cut into blocks of
+    ``block`` times, each with a halo of the ``order`` before it: a long one is many tasks.
+    """
     if block <= order:
         raise ValueError("a block must be longer than the order")
     home = F.floor(F.col("t") / block)
     # the last samples of a block also go to the next one
-    halo = F.when(F.col("t") % block >= block - order, F.array(home, home + 1)).otherwise(F.array(home))
+    halo = F.when(F.pmod(F.col("t"), F.lit(block)) >= block - order, F.array(home, home + 1)).otherwise(F.array(home))
     w = Window.partitionBy(*keys, "_block").orderBy("t")
     out = df.withColumn("_block", F.explode(halo))
-    out = out.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for k in range(1, order + 1) for c in names})
-    whole = reduce(lambda a, b: a & b, (F.col(f"{c}_{order}").isNotNull() for c in names))
-    return out.where((F.col("_block") == home) & whole).drop("_block")
+    out = out.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for k in range(first, order + 1) for c in names} | {"_t": F.lag("t", order).over(w)})
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*names, *lag_names(names, order, first)]))
+    return out.where((F.col("_block") == home) & (F.col("t") - F.col("_t") == order) & whole).drop("_block", "_t")
 
 
 def lag_names(names: Sequence[str], order: int, first: int = 1) -> list[str]:

@@ -63,9 +63,10 @@ def interpolate(curve: DataFrame, at: DataFrame, x: str, value: str, key: str =
     """
     both = curve.select(key, x, F.col(value).alias("_v"), F.lit(0).alias("_q")).unionByName(at.select(key, x, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_q")))
     w = Window.partitionBy(key).orderBy(x, "_q")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # both frames only grow, so that each row is visited once in each direction
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy(F.desc(x), "_q").rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("_v").isNotNull(), F.struct(F.col(x).alias("x"), F.col("_v").alias("v")))
-    rows = both.withColumns({"_a": F.last(point, True).over(back), "_b": F.first(point, True).over(ahead)}).where("_q = 1")
+    rows = both.withColumns({"_a": F.last(point, True).over(back), "_b": F.last(point, True).over(ahead)}).where("_q = 1")
     a, b = F.col("_a"), F.col("_b")
     between = a["v"] + (b["v"] - a["v"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"])
     return rows.select(key, x, F.when(a.isNull(), b["v"]).when(b.isNull() | (b["x"] == a["x"]), a["v"]).otherwise(between).alias(value))

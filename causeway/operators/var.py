@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import matrices as M
-from causeway.operators.lags import KEYS, Moments, lag_names, lagged
+from causeway.operators.lags import BLOCK, KEYS, Moments, lag_names, lagged
 from causeway.sources.series import channels
 
 MODEL = "p int, n_obs long, coef array<double>, sigma array<double>"
@@ -111,28 +111,41 @@ def criteria(models: DataFrame, n: int, n_obs) -> DataFrame:
 def select_order(df: DataFrame, most: int = 20) -> DataFrame:
     """(series_id, p, aic, bic) for p from 1 to ``most``; each p has its own usable rows, and samples count as all of the series.
 
-    One window and one aggregate: the sums for all orders are those of the largest, restricted to t >= p.
+    Sums of products of the channels at distances 0 to ``most`` (a block of a series is a task), and the first and last ``most`` samples, give the sums of
+    every order. Times are a grid without gaps; null samples are an error. Orders without as many rows as regressors are left out.
     """
     names = channels(df)
-    n = len(names)
-    w = Window.partitionBy("series_id").orderBy("t")
-    rows = df.withColumn("_row", F.row_number().over(w) - 1).withColumns({f"{c}_{k}": F.lag(c, k).over(w) for k in range(1, most + 1) for c in names})
-    parts = [Moments([*names, *lag_names(names, p)]) for p in range(1, most + 1)]
-    sums = rows.groupBy("series_id").agg(F.count("*").alias("n_obs"), *(m.column(F.col("_row") >= p).alias(f"m{p}") for p, m in enumerate(parts, 1)))
+    n, block = len(names), BLOCK
+    home = F.floor(F.col("t") / block)
+    halo = F.when(F.pmod(F.col("t"), F.lit(block)) >= block - most, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = df.select("series_id", "t", *names).withColumn("_block", F.explode(halo))
+    kind = df.schema["series_id"].dataType.simpleString()
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x, t, blk = pdf[names].to_numpy(float), pdf["t"].to_numpy(), int(pdf["_block"].iloc[0])
+        if np.isnan(x).any() or (np.diff(t) != 1).any():
+            raise ValueError("order selection needs series without gaps and nulls")
+        own = int(np.searchsorted(t, blk * block))
+        sums = [x[max(own, h) :].T @ x[max(own, h) - h : len(x) - h] if h < len(x) else np.zeros((n, n)) for h in range(most + 1)]
+        return pd.DataFrame([[pdf["series_id"].iloc[0], blk, len(x) - own, x[own:].sum(axis=0).tolist(), np.ravel(sums).tolist(), x[own:][:most].ravel().tolist(), x[-most:].ravel().tolist()]], columns=["series_id", "blk", "n", "total", "sums", "head", "tail"])
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                for p in range(1, most + 1):
-                    s = M.moment_matrix(row[f"m{p}"], 1 + n + n * p)
-                    y, x = list(range(1, n + 1)), list(range(n + 1, n + 1 + n * p))
-                    sigma = M.residual_covariance(s, y, x, M.solve_moments(s[np.ix_(x, x)], s[np.ix_(x, y)]))
-                    size, k, t = float(np.linalg.slogdet(sigma)[1]), count_parameters(n, p), row["n_obs"]
-                    out.append((row["series_id"], p, size + 2 * k / t, size + np.log(t) * k / t))
-            yield pd.DataFrame(out, columns=["series_id", "p", "aic", "bic"])
-
-    return sums.mapInPandas(solve, "series_id string, p int, aic double, bic double")
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["n"] > 0].sort_values("blk")
+        size, total = int(pdf["n"].sum()), np.sum(np.stack(pdf["total"].to_list()), axis=0)
+        sums = np.sum(np.stack(pdf["sums"].to_list()), axis=0).reshape(most + 1, n, n)
+        head = np.concatenate(pdf["head"].to_list()).reshape(-1, n)[:most]
+        tail = np.concatenate([*pdf["head"].to_list()[:1], pdf["tail"].iloc[-1]]).reshape(-1, n)[-min(most, size) :]
+        out = []
+        for p, s in M.order_moments(size, total, sums, head, tail):
+            y, x = list(range(1, n + 1)), list(range(n + 1, n + 1 + n * p))
+            sigma = M.residual_covariance(s, y, x, M.solve_moments(s[np.ix_(x, x)], s[np.ix_(x, y)]))
+            det, k = float(np.linalg.slogdet(sigma)[1]), count_parameters(n, p)
+            out.append((pdf["series_id"].iloc[0], p, det + 2 * k / size, det + np.log(size) * k / size))
+        return pd.DataFrame(out, columns=["series_id", "p", "aic", "bic"])
+
+    parts = rows.groupBy("series_id", "_block").applyInPandas(partial, f"series_id {kind}, blk long, n long, total array<double>, sums array<double>, head array<double>, tail array<double>")
+    return parts.groupBy("series_id").applyInPandas(solve, f"series_id {kind}, p int, aic double, bic double")
 
 
 def best_order(table: DataFrame, criterion: str = "bic") -> DataFrame:

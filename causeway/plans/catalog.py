@@ -154,7 +154,7 @@ def gc_per_user(spark, sf_dir):
 
 
 _SHIPS = Q.scaled(Q.SHIPS, 1e5, ["x0", "x1", "x2"])
-_WINDOWS = Q.Rel(f"SELECT l.*, w.range AS w FROM ({Q.lagged(_SHIPS, ['x0', 'x1'], 1)}) l JOIN range(0, 20) w ON l.t BETWEEN w.range * 100 + 1 AND w.range * 100 + 499")
+_WINDOWS = Q.Rel(f"SELECT l.*, w.range AS w FROM ({Q.lagged(_SHIPS, ['x0', 'x1'], 1)}) l JOIN (SELECT unnest(range(0, (max(t) + 1 - 500) // 100 + 1)) AS range FROM ({_SHIPS})) w ON l.t BETWEEN w.range * 100 + 1 AND w.range * 100 + 499")
 
 
 @query(Q.gc(Q.moments(_WINDOWS, ["x0", "x0_1", "x1_1"], "series_id, w"), "x0", ["x0_1"], ["x0_1", "x1_1"]).pick("series_id", w="CAST(w AS BIGINT)", window_start="CAST(w * 100 AS BIGINT)", center="CAST(w * 100 + 250 AS BIGINT)", gc="round(gc, 6)"))
@@ -257,7 +257,7 @@ def var_stability(spark, sf_dir):
 
 
 def _criteria_sql(order: int) -> Q.Rel:
-    n, k = 720, 4 * order
+    n, k = f"(n_obs + {order})", 4 * order
     logdet = "ln(s00 * s11 - s01 * s01)"
     return Q.model(Q.PAIR, order).pick("series_id", p=order, aic=f"round({logdet} + 2.0 * {k} / {n}, 6)", bic=f"round({logdet} + ln({n}) * {k} / {n}, 6)")
 
@@ -557,7 +557,7 @@ def first_samples(spark, sf_dir):
     return rounded(signal.prefix(pair(spark, sf_dir), 100).select("series_id", "t", "x0"), x0=4)
 
 
-@query(f"SELECT a.series_id, round(g.range * 2.5, 1) AS x, round(a.x0 + (coalesce(b.x0, a.x0) - a.x0) * (least(g.range * 2.5, 719) - a.t), 6) AS v FROM range(300) g JOIN ({Q.PAIR}) a ON a.t = floor(least(g.range * 2.5, 719)) LEFT JOIN ({Q.PAIR}) b ON b.t = a.t + 1")
+@query(f"SELECT a.series_id, round(g.range * 2.5, 1) AS x, round(a.x0 + (coalesce(b.x0, a.x0) - a.x0) * (least(g.range * 2.5, a.top) - a.t), 6) AS v FROM range(300) g JOIN (SELECT *, max(t) OVER () AS top FROM ({Q.PAIR})) a ON a.t = floor(least(g.range * 2.5, a.top)) LEFT JOIN ({Q.PAIR}) b ON b.t = a.t + 1")
 def interp_join(spark, sf_dir):
     curve = pair(spark, sf_dir).select("series_id", F.col("t").cast("double").alias("x"), F.col("x0").alias("v"))
     at = spark.range(300).select(F.lit("events").alias("series_id"), (F.col("id") * 2.5).alias("x"))

@@ -30,17 +30,17 @@ class Rel:
         return self.sql
 
 
-def _regular(table: str, name: str, ts: str, seconds: int, origin: str, channel: str, names: list, value: str, last: int) -> Rel:
+def _regular(table: str, name: str, ts: str, seconds: int, origin: str, channel: str, names: list, value: str) -> Rel:
     t = f"CAST(floor((epoch({ts}) - epoch(TIMESTAMP '{origin}')) / {seconds}) AS BIGINT)"
     sums = ", ".join(f"CAST(sum(CASE WHEN {channel} = '{n}' THEN CAST({value} AS DECIMAL(18,4)) END) AS DOUBLE) AS x{k}" for k, n in enumerate(names))
     filled = ", ".join(f"coalesce(w.x{k}, 0.0) AS x{k}" for k in range(len(names)))
-    return Rel(f"SELECT '{name}' AS series_id, g.t AS t, {filled} FROM (SELECT range AS t FROM range(0, {last + 1})) g LEFT JOIN (SELECT {t} AS t, {sums} FROM {table} GROUP BY 1) w ON g.t = w.t")
+    return Rel(f"SELECT '{name}' AS series_id, g.t AS t, {filled} FROM (SELECT unnest(range(least(0, min({t})), max({t}) + 1)) AS t FROM {table}) g LEFT JOIN (SELECT {t} AS t, {sums} FROM {table} GROUP BY 1) w ON g.t = w.t")
 
 
-EVENTS = _regular("events", "events", "ts", R.HOUR, "2024-01-01", "event_type", R.EVENT_TYPES, "value", 719)
-COUNTS = _regular("events", "events", "ts", R.DAY, "2024-01-01", "event_type", R.EVENT_TYPES, "1", 29)
-ORDERS = _regular("orders", "orders", "o_orderdate", R.DAY, "1995-01-01", "o_orderpriority", R.PRIORITIES, "o_totalprice", 2404)
-SHIPS = _regular("lineitem", "ships", "l_shipdate", R.DAY, "1995-01-02", "l_returnflag", R.RETURN_FLAGS, "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))", 2498)
+EVENTS = _regular("events", "events", "ts", R.HOUR, "2024-01-01", "event_type", R.EVENT_TYPES, "value")
+COUNTS = _regular("events", "events", "ts", R.DAY, "2024-01-01", "event_type", R.EVENT_TYPES, "1")
+ORDERS = _regular("orders", "orders", "o_orderdate", R.DAY, "1995-01-01", "o_orderpriority", R.PRIORITIES, "o_totalprice")
+SHIPS = _regular("lineitem", "ships", "l_shipdate", R.DAY, "1995-01-02", "l_returnflag", R.RETURN_FLAGS, "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))")
 USERS = Rel("""SELECT CAST(user_id AS VARCHAR) AS series_id, row_number() OVER w - 1 AS t, value AS x0,
     coalesce(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w, 0.0) AS x1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 
@@ -86,6 +86,28 @@ def gc(rel: Rel, target: str, own: Sequence[str], full: Sequence[str], ridge: fl
     return rel.stage(gc="ln(sigma_reduced / sigma_full)", n_obs=f"CAST({moment('1', '1')} AS BIGINT)")
 
 
+def guarded_gc(rel: Rel, target: str, own: Sequence[str], full: Sequence[str], ridge: float = 0.0) -> Rel:
+    """gc() for sums of any rank, by elimination."""
+    for out, names in (("sigma_full", full), ("sigma_reduced", own)):
+        for step in G.elimination(moment, target, names, Sql, out, ridge):
+            rel = rel.stage(**step)
+    return rel.stage(gc="CASE WHEN sigma_full > 0 AND sigma_reduced > 0 THEN ln(sigma_reduced / sigma_full) END", n_obs=f"CAST({moment('1', '1')} AS BIGINT)")
+
+
+def eliminated_model(rel: Rel, order: int) -> Rel:
+    """A two-channel model of any order by elimination: b0_<k>, b1_<k> (regressor by regressor) and s00, s01, s11, n_obs."""
+    names = ["x0", "x1"]
+    x = lag_names(names, order)
+    out = moments(lagged(rel, names, order), [*names, *x])
+    # the columns of each step, but no older ones than needed, so that the text stays short
+    steps = [G.elimination(moment, y, x, Sql, f"e{r}") for r, y in enumerate(names)]
+    for a, b in zip(*steps, strict=True):
+        out = out.stage(**(a | b))
+    b = [[Sql(f"e{r}_b{k}") for k in range(len(x))] for r in range(2)]
+    cross = {f"s{r}{c}": G.residual_covariance(moment, f"x{r}", f"x{c}", x, b[r], b[c]) for r, c in ((0, 0), (0, 1), (1, 1))}
+    return out.stage(n_obs=f"CAST({moment('1', '1')} AS BIGINT)", **cross).pick("series_id", "n_obs", *(f"{v} AS b{r}_{k}" for r in range(2) for k, v in enumerate(b[r])), "s00", "s01", "s11")
+
+
 def model(rel: Rel, order: int = 1, keys: str = "series_id") -> Rel:
     """A two-channel model: c<k><r><c> and s00, s01, s11, n_obs."""
     names = ["x0", "x1"]

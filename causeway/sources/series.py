@@ -26,41 +26,41 @@ def bucket(ts: Column, seconds: int, origin: str) -> Column:
 
 
 def regular(rows: DataFrame, keys: list[str], channel: str, names: list, value: Column, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Sums of ``value`` by ``keys``, bucket ``t`` and channel, one column for each of ``names``, on each t from first to last.
+    """Sums of ``value`` by ``keys``, bucket ``t`` and channel, one column for each of ``names``, on each t of a series.
 
-    Bounds default to those of each series. Two partial aggregations on the same keys; the grid is
+    A series goes from its first to its last bucket, and from ``first`` and to ``last`` if these are beyond; no row is left out. Two partial aggregations on the same keys; the grid is
     generated, not collected.
     """
     sums = [F.coalesce(F.sum(F.when(F.col(channel) == n, value.cast("decimal(18,4)"))), F.lit(0)).cast("double").alias(f"x{k}") for k, n in enumerate(names)]
     wide = rows.groupBy(*keys, "t").agg(*sums)
     ends = rows.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    low, high = (F.col("a") if first is None else F.lit(first)), (F.col("b") if last is None else F.lit(last))
+    low, high = (F.col("a") if first is None else F.least("a", F.lit(first))), (F.col("b") if last is None else F.greatest("b", F.lit(last)))
     grid = ends.select(*keys, F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("t"))
     return grid.join(wide, [*keys, "t"], "left").select(*keys, "t", *(F.coalesce(f"x{k}", F.lit(0.0)).alias(f"x{k}") for k in range(len(names))))
 
 
 def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly sums of events' values, a channel for each type; 720 hours from 2024-01-01."""
+    """Hourly sums of events' values, a channel for each type; from 2024-01-01, or the first event if that is before, to the last."""
     rows = table(spark, sf_dir, "events").select(F.lit("events").alias("series_id"), bucket(F.col("ts"), HOUR, "2024-01-01").alias("t"), "event_type", "value")
-    return regular(rows, ["series_id"], "event_type", EVENT_TYPES, F.col("value"), 0, 719)
+    return regular(rows, ["series_id"], "event_type", EVENT_TYPES, F.col("value"), 0)
 
 
 def events_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.lit("events").alias("series_id"), bucket(F.col("ts"), DAY, "2024-01-01").alias("t"), "event_type")
-    return regular(rows, ["series_id"], "event_type", EVENT_TYPES, F.lit(1), 0, 29)
+    return regular(rows, ["series_id"], "event_type", EVENT_TYPES, F.lit(1), 0)
 
 
 def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily sums of orders' prices by priority; 2,405 days from 1995-01-01."""
+    """Daily sums of orders' prices by priority, from 1995-01-01 or before."""
     rows = table(spark, sf_dir, "orders").select(F.lit("orders").alias("series_id"), bucket(F.col("o_orderdate"), DAY, "1995-01-01").alias("t"), "o_orderpriority", "o_totalprice")
-    return regular(rows, ["series_id"], "o_orderpriority", PRIORITIES, F.col("o_totalprice"), 0, 2404)
+    return regular(rows, ["series_id"], "o_orderpriority", PRIORITIES, F.col("o_totalprice"), 0)
 
 
 def ship_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily revenue by return flag; 2,499 days from 1995-01-02."""
+    """Daily revenue by return flag, from 1995-01-02 or before."""
     revenue = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
     rows = table(spark, sf_dir, "lineitem").select(F.lit("ships").alias("series_id"), bucket(F.col("l_shipdate"), DAY, "1995-01-02").alias("t"), "l_returnflag", revenue.alias("revenue"))
-    return regular(rows, ["series_id"], "l_returnflag", RETURN_FLAGS, F.col("revenue"), 0, 2498)
+    return regular(rows, ["series_id"], "l_returnflag", RETURN_FLAGS, F.col("revenue"), 0)
 
 
 def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,14 +90,62 @@ def test_causality_ignores_scale_and_partitions(pair):
 
 def test_lags_in_blocks_are_lags(pair):
     a = lags.lagged(pair, ["x0", "x1"], 2).orderBy("series_id", "t").toPandas()
-    b = lags.lagged_in_blocks(pair, ["x0", "x1"], 2, 64).orderBy("series_id", "t").select(*a.columns).toPandas()
-    assert a.equals(b)
-
-
-def test_plan_has_one_window_and_one_shuffle(pair):
+    b = lags.lagged(pair, ["x0", "x1"], 2, block=64).orderBy("series_id", "t").toPandas()
+    assert a.equals(b) and len(a) == pair.count() - 2 * pair.select("series_id").distinct().count()
+
+
+def test_nulls_and_gaps_are_left_out(spark):
+    rows = [("s", t, None if t == 7 else float(t), 1.0) for t in range(20) if t != 13]
+    got = lags.lagged(spark.createDataFrame(rows, "series_id string, t long, x0 double, x1 double"), ["x0", "x1"], 2)
+    assert sorted(r.t for r in got.collect()) == [2, 3, 4, 5, 6, 10, 11, 12, 16, 17, 18, 19]
+    assert lags.lagged(got.limit(0).select("series_id", "t", "x0"), ["x0"], 1).count() == 0
+
+
+def test_degenerate_series_have_their_least_squares(spark):
+    r = np.random.default_rng(4)
+    data = {}
+    for name in ("plain", "zero source", "constant source", "equal", "combined", "constant target", "short"):
+        x = r.normal(size=(40, 3)).cumsum(axis=0) * 0.3
+        if name == "zero source":
+            x[:, 1] = 0
+        if name == "constant source":
+            x[:, 1] = 5
+        if name == "equal":
+            x[:, 1] = x[:, 0]
+        if name == "combined":
+            x[:, 2] = 2 * x[:, 0] - x[:, 1]
+        if name == "constant target":
+            x[:, 0] = 3
+        data[name] = x[:4] if name == "short" else x
+    rows = [(k, t, *map(float, v), float(t % 3)) for k, x in data.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series_id string, t long, x0 double, x1 double, x2 double, u0 double")
+
+    def variance(x, y, regressors):
+        rest = y - regressors @ np.linalg.lstsq(regressors, y, rcond=1e-10)[0]
+        v = rest.var()
+        return v if v > 1e-12 * (y**2).mean() else 0.0
+
+    def expected(x, conditioning, order):
+        y = x[order:, 0]
+        design = lambda c: np.column_stack([x[order - k : len(x) - k, j] for k in range(1, order + 1) for j in c])
+        a, b = variance(x, y, design([0, 1, *conditioning])), variance(x, y, design([0, *conditioning]))
+        return np.log(b / a) if a > 0 and b > 0 else None
+
+    for conditioning, order in (([], 1), ([2], 1), ([], 2), ([2], 2)):
+        got = {r.series_id: r.gc for r in gc_time.conditional_gc(df, "x1", "x0", [f"x{k}" for k in conditioning], order).collect()}
+        for k, x in data.items():
+            if k != "short":
+                assert got[k] == (pytest.approx(v, abs=1e-7) if (v := expected(x, conditioning, order)) is not None else None), (k, conditioning, order)
+    pairs = {(r.series_id, r.source, r.target): r.gc for r in gc_time.all_pairs_gc(df).collect()}
+    assert len(pairs) == 6 * len(data) and all(pairs[k, 1, 0] == (pytest.approx(v, abs=1e-7) if (v := expected(x, [], 1)) is not None else None) for k, x in data.items() if k != "short")
+    assert gc_time.sliding_gc(df, "x1", "x0", 20, 5).where("series_id = 'zero source'").agg(F.count("*"), F.max(F.abs("gc"))).first() == (5, 0.0)
+    assert abs(gc_time.varx_gc(df.drop("x2"), ["u0"], "x1", "x0").where("series_id = 'zero source'").first().gc) < 1e-9
+
+
+def test_plan_has_one_window_and_short_rows_to_shuffle(pair):
     plan = gc_time.all_pairs_gc(pair)._jdf.queryExecution().executedPlan().toString()
     initial = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
-    assert initial.count("Window [") == 1 and initial.count("Exchange hashpartitioning") == 1 and "Python" not in initial
+    assert initial.count("Window [") == 1 and initial.count("Exchange hashpartitioning") == 2 and "Python" not in initial  # samples once, then a row for each block
 
 
 # models
