@@ -183,6 +183,11 @@ def eigenvalues(spectrum: DataFrame, n: int = 2) -> DataFrame:
     return out.withColumn("condition", F.greatest("max_eigenvalue", F.lit(1e-15)) / F.greatest("min_eigenvalue", F.lit(1e-15)))
 
 
+def median_condition(diagnostics: DataFrame) -> DataFrame:
+    """(series_id, condition): the median over frequencies of eigenvalues()' condition numbers."""
+    return diagnostics.groupBy("series_id").agg(F.median("condition").alias("condition"))
+
+
 def regularized(spectrum: DataFrame, epsilon: float = 1e-8) -> DataFrame:
     """S + epsilon I."""
     return spectrum.withColumn("re", F.col("re") + F.when(F.col("row") == F.col("col"), epsilon).otherwise(0.0))

@@ -153,6 +153,42 @@ def gc_per_user(spark, sf_dir):
     return rounded(gc_time.pairwise_gc(users, "x1", "x0", 1), **_GC)
 
 
+#: users by the last digit of their number: as they are, with a zero, a constant, a repeated and a combined channel, a constant target
+_DEGENERATE = Q.Rel(f"""SELECT series_id, t, CASE WHEN k = 5 THEN 3.0 ELSE x0 END AS x0, CASE k WHEN 1 THEN 0.0 WHEN 2 THEN 7.0 WHEN 3 THEN 2 * x0 ELSE x1 END AS x1,
+    CASE WHEN k = 4 THEN x0 - x1 ELSE x0 * x1 END AS x2 FROM (SELECT *, CAST(series_id AS BIGINT) % 6 AS k FROM ({_USERS}))""")
+
+
+def degenerate_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = R.user_panel(spark, sf_dir).withColumns({"x0": F.col("x0") / 100.0, "x1": F.col("x1") / 10000.0})
+    k = F.col("series_id").cast("long") % 6
+    return users.select(
+        "series_id", "t", F.when(k == 5, 3.0).otherwise(F.col("x0")).alias("x0"), F.when(k == 1, 0.0).when(k == 2, 7.0).when(k == 3, 2 * F.col("x0")).otherwise(F.col("x1")).alias("x1"),
+        F.when(k == 4, F.col("x0") - F.col("x1")).otherwise(F.col("x0") * F.col("x1")).alias("x2"),
+    )
+
+
+_PANEL_GC = {"sigma_full": 4, "sigma_reduced": 4, "gc": 5}
+
+
+def _panel(rel: Q.Rel) -> Q.Rel:
+    return rel.pick("series_id", "n_obs", sigma_full="round(sigma_full, 4)", sigma_reduced="round(sigma_reduced, 4)", gc="round(gc, 5) + 0.0")  # no negative zeros
+
+
+def _panel_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, **_PANEL_GC).withColumn("gc", F.col("gc") + 0.0)
+
+
+@query(_panel(Q.guarded_gc(Q.moments(Q.lagged(_DEGENERATE, ["x0", "x1", "x2"], 1), ["x0", "x0_1", "x2_1", "x1_1"]), "x0", ["x0_1", "x2_1"], ["x0_1", "x1_1", "x2_1"])))
+def gc_degenerate_panel(spark, sf_dir):
+    """Constant, zero, repeated and collinear channels among ordinary ones."""
+    return _panel_rounded(gc_time.conditional_gc(degenerate_panel(spark, sf_dir), "x1", "x0", ["x2"], 1))
+
+
+@query(_panel(Q.guarded_gc(Q.moments(Q.lagged(_DEGENERATE, ["x0", "x1"], 1), ["x0", "x0_1", "x1_1"]), "x0", ["x0_1"], ["x0_1", "x1_1"])))
+def gc_degenerate_pairwise(spark, sf_dir):
+    return _panel_rounded(gc_time.pairwise_gc(degenerate_panel(spark, sf_dir), "x1", "x0", 1))
+
+
 _SHIPS = Q.scaled(Q.SHIPS, 1e5, ["x0", "x1", "x2"])
 _WINDOWS = Q.Rel(f"SELECT l.*, w.range AS w FROM ({Q.lagged(_SHIPS, ['x0', 'x1'], 1)}) l JOIN (SELECT unnest(range(0, (max(t) + 1 - 500) // 100 + 1)) AS range FROM ({_SHIPS})) w ON l.t BETWEEN w.range * 100 + 1 AND w.range * 100 + 499")
 
@@ -173,6 +209,13 @@ def varx_gc_ridge(spark, sf_dir):
     return rounded(gc_time.varx_gc(pair(spark, sf_dir), ["u0"], "x1", "x0", 1, 1, 10.0), **_GC)
 
 
+@query(_round(Q.gc(_pair_sums(1, ("u0",)), "x0", ["x0_1", "u0"], ["x0_1", "x1_1", "u0"]), "series_id", "n_obs", **_GC))
+def varx_gc_joined(spark, sf_dir):
+    """The input out of another table, met by an equi-join on series and time."""
+    both = pair(spark, sf_dir)
+    return rounded(gc_time.varx_gc(gc_time.with_inputs(both.drop("u0"), both.select("series_id", "t", "u0")), ["u0"], "x1", "x0", 1, 1), **_GC)
+
+
 @query(_round(Q.gc(_pair_sums(1), "x0", ["x0_1"], ["x0_1", "x1_1"]), "series_id", "n_obs", **_GC))
 def varx_gc_without_input(spark, sf_dir):
     """The ordinary model for comparison."""
@@ -267,17 +310,33 @@ def information_criteria(spark, sf_dir):
     return rounded(var.criteria(pair_model(spark, sf_dir), 2, F.col("n_obs") + F.col("p")), aic=6, bic=6)
 
 
-_ORDERS = f"{_criteria_sql(1)} UNION ALL {_criteria_sql(2)}"
+_MOST = 10
+
+
+def _orders_sql(most: int) -> str:
+    out = []
+    for p in range(1, most + 1):
+        n, k = f"(n_obs + {p})", 4 * p
+        logdet = "ln(s00 * s11 - s01 * s01)"
+        out.append(str(Q.eliminated_model(Q.PAIR, p).pick("series_id", p=p, aic=f"round({logdet} + 2.0 * {k} / {n}, 6)", bic=f"round({logdet} + ln({n}) * {k} / {n}, 6)")))
+    return " UNION ALL ".join(out)
+
+
+_ORDERS = _orders_sql(_MOST)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(var.select_order(pair(spark, sf_dir).drop("u0"), _MOST), aic=6, bic=6)
 
 
 @query(_ORDERS)
 def order_selection(spark, sf_dir):
-    return rounded(var.select_order(pair(spark, sf_dir).drop("u0"), 2), aic=6, bic=6)
+    return orders(spark, sf_dir)
 
 
 @query(f"SELECT series_id, p, aic, bic FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY bic, p) AS k FROM ({_ORDERS})) WHERE k = 1")
 def best_order(spark, sf_dir):
-    return var.best_order(rounded(var.select_order(pair(spark, sf_dir).drop("u0"), 2), aic=6, bic=6))
+    return var.best_order(orders(spark, sf_dir))
 
 
 @query(f"SELECT series_id, CAST(2 * 2 * {2} AS INTEGER) AS n_parameters FROM ({MODEL2})")
@@ -380,6 +439,11 @@ def spectrum_diagnostics(spark, sf_dir):
     return rounded(e.select("series_id", "f_idx", "min_eigenvalue", "condition"), min_eigenvalue=4, condition=4)
 
 
+@query(f"SELECT series_id, round(median(high / low), 4) AS condition FROM (SELECT series_id, greatest(high, 1e-15) AS high, greatest(low, 1e-15) AS low FROM ({Q.density(MODEL1, 1, N).stage(low=_eig[0], high=_eig[1])})) GROUP BY series_id")
+def median_condition(spark, sf_dir):
+    return rounded(spectral.median_condition(spectral.eigenvalues(pair_density(spark, sf_dir))), condition=4)
+
+
 @query(f"SELECT series_id, round(max(sqrt(pow(s01_re - s10_re, 2) + pow(s01_im + s10_im, 2))), 6) AS hermitian_error FROM ({Q.density(MODEL1, 1, N)}) GROUP BY series_id")
 def hermitian_error(spark, sf_dir):
     return rounded(spectral.hermitian_error(pair_density(spark, sf_dir)), hermitian_error=6)
@@ -435,14 +499,30 @@ def one_sided_spectrum(spark, sf_dir):
     return _plain(spectral.one_sided(spectral.two_sided(_short_density(spark, sf_dir)), 2 * SHORT - 2))
 
 
-@query("SELECT 'events' AS series_id, TRUE AS from_factor, TRUE AS from_transfer")
-def reconstruction_error(spark, sf_dir):
-    """Whether both products give back the spectrum that was factorized, to 1e-5."""
-    s = _short_density(spark, sf_dir)
-    w = spectral.wilson_factor(s, 200, 1e-9, 1e-10)
-    a = spectral.max_relative_error(s, spectral.reconstruct_from_factor(w)).withColumnRenamed("error", "a")
-    b = spectral.max_relative_error(s, spectral.reconstruct_from_transfer(w)).withColumnRenamed("error", "b")
-    return a.join(b, "series_id").select("series_id", (F.col("a") < 1e-5).alias("from_factor"), (F.col("b") < 1e-5).alias("from_transfer"))
+_ROUGH = {"omega": 6, "re": 3, "im": 3}
+_BACK = _DENSITY_SHORT.pick("series_id", "f_idx", "row", "col", omega="round(omega, 6)", re="round(re, 3) + 0.0", im="round(im, 3) + 0.0") if isinstance(_DENSITY_SHORT, Q.Rel) else ""
+
+
+def _back(df: DataFrame) -> DataFrame:
+    out = rounded(df.select("series_id", "f_idx", "row", "col", "omega", "re", "im"), **_ROUGH)
+    return out.withColumns({"re": F.col("re") + 0.0, "im": F.col("im") + 0.0})
+
+
+@query(_BACK)
+def reconstruct_from_factor(spark, sf_dir):
+    """The product of the factors is the spectrum that was factorized."""
+    return _back(spectral.reconstruct_from_factor(spectral.wilson_factor(_short_density(spark, sf_dir), 200, 1e-11, 1e-12)))
+
+
+@query(_BACK)
+def reconstruct_from_transfer(spark, sf_dir):
+    return _back(spectral.reconstruct_from_transfer(spectral.wilson_factor(_short_density(spark, sf_dir), 200, 1e-11, 1e-12)))
+
+
+@query(f"SELECT series_id, round(max(sqrt(gap) / (sqrt(size) + 1e-12)), 6) AS error FROM (SELECT series_id, f_idx, sum(CASE WHEN row = col THEN 0.25 ELSE 0 END) AS gap, sum(re * re + im * im) AS size FROM ({DENSITY}) GROUP BY 1, 2) GROUP BY 1")
+def max_relative_error(spark, sf_dir):
+    s = pair_density(spark, sf_dir)
+    return rounded(spectral.max_relative_error(s, spectral.regularized(s, 0.5)), error=6)
 
 
 @query(MODEL1.where("TRUE").pick("series_id", row="0", col="0", value="round(s00, 3)"))
