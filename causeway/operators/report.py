@@ -103,37 +103,72 @@ def method_bars(table: DataFrame, label: str, value: str) -> DataFrame:
     return points(table, "method_bars", F.col(label).cast("string"), F.lit(0), F.col(value))
 
 
-def register(query: Callable, pair: Callable, pair_model: Callable) -> None:
-    """Queries for the charts that tables can feed."""
-    from causeway.operators import adaptive, gc_spectral, gc_time, spectral, ssm, var
-    from causeway.operators.signal import downsample, zscore
+def coupled(df: DataFrame) -> DataFrame:
+    """A target that channel 1 drives with a known strength, falling from .8 to .1: x0 = coupling * x1 one step before + u0."""
+    w = Window.partitionBy("series_id")
+    strength = 0.8 - 0.7 * F.col("t") / F.max("t").over(w)
+    driven = F.coalesce(F.lag("x1").over(w.orderBy("t")), F.lit(0.0))
+    return df.withColumn("coupling", strength).select("series_id", "t", (F.col("coupling") * driven + F.col("u0")).alias("x0"), "x1", "coupling")
+
+
+#: What the chart of mixed observations sees: y = MIXING x + 0.5 u in channel 0; the noise is mixed like the states.
+MIXING = [[1.0, 0.35], [0.25, 1.0]]
+
+
+def register(query: Callable, pair: Callable, pair_model: Callable, oracles: dict[str, str]) -> None:
+    """Queries for the charts that tables can feed; what is true in them is known by construction."""
+    from causeway.operators import adaptive, gc_spectral, gc_time, signal, spectral, ssm, var
 
     plain = lambda spark, d: pair(spark, d).drop("u0")
-    density = lambda spark, d: spectral.long_form(spectral.density_pair(pair_model(spark, d), 1, 33), "s")
-    observed = lambda spark, d: pair(spark, d).select("series_id", "t", F.col("x0").alias("y0"), "u0")
-    smooth = lambda spark, d: ssm.kalman_smoother(observed(spark, d), [[0.8]], [[0.1]], [[1.0]], [[4.0]]).select("series_id", "t", F.col("x_smooth")[0].alias("x0"))
+    density = lambda spark, d: spectral.long_form(spectral.density_pair(pair_model(spark, d), 1, 48), "s")
+    driven = lambda spark, d: coupled(pair(spark, d))
+    estimates = lambda df: adaptive.rls(df.drop("u0", "coupling"), 1, 0.99)
+    # the state is channel 0, the other two columns are what disturbs its observation
+    noisy = lambda spark, d: pair(spark, d).select("series_id", "t", (F.col("x0") + F.col("x1") - F.col("u0")).alias("y0"), "u0")
+    smooth = lambda spark, d: ssm.kalman_smoother(noisy(spark, d), [[0.8]], [[0.1]], [[1.0]], [[4.0]]).select("series_id", "t", F.col("x_smooth")[0].alias("x0"))
+    (a, b), (c, e) = MIXING
+    mixed = lambda spark, d: pair(spark, d).select("series_id", "t", (a * F.col("x0") + b * F.col("x1") + 0.5 * F.col("u0")).alias("y0"), (c * F.col("x0") + e * F.col("x1")).alias("y1"))
+    noise = [[0.6 * (a * a + b * b), 0.6 * (a * c + b * e)], [0.6 * (a * c + b * e), 0.6 * (c * c + e * e)]]
+    unmixed = lambda spark, d: ssm.kalman_smoother(mixed(spark, d), [[0.6, 0.0], [0.0, 0.55]], [[0.0], [0.0]], [[0.15, 0.0], [0.0, 0.15]], noise, MIXING).select("series_id", "t", F.col("x_smooth")[0].alias("x0"))
+
+    def bold(spark, d):
+        """What a scanner would see of channel 0."""
+        seen = signal.convolve(pair(spark, d).select("series_id", "t", "x0"), signal.hrf_kernel(spark, 1.0), ["x0"])
+        return signal.zscore(signal.downsample(seen, 6), ["x0"]).select("series_id", "t", F.col("x0_z").alias("x0"))
+
+    def methods(spark, d):
+        """One direction by several estimators."""
+        both = pair(spark, d)
+        found = {"var": gc_time.pairwise_gc(both, "x1", "x0"), "varx": gc_time.varx_gc(both, ["u0"], "x1", "x0"), "varx ridge": gc_time.varx_gc(both, ["u0"], "x1", "x0", ridge=10.0), "model": ssm.model_gc(pair_model(spark, d), 2, 1, 0)}
+        out = None
+        for name, table in found.items():
+            part = table.select(F.lit(name).alias("method"), "gc")
+            out = part if out is None else out.union(part)
+        return out
+
     charts = {
-        "spectral_gc": lambda s, d: spectral_gc(gc_spectral.spectral_gc(pair_model(s, d), 1, 33)),
+        "spectral_gc": lambda s, d: spectral_gc(gc_spectral.spectral_gc(pair_model(s, d), 1, 48)),
         "residual_acf": lambda s, d: residual_acf(var.autocorrelation(var.residuals(plain(s, d), pair_model(s, d), 1), 5)),
-        "information_criteria": lambda s, d: information_criteria(var.select_order(plain(s, d), 3)),
+        "information_criteria": lambda s, d: information_criteria(var.select_order(plain(s, d), 5)),
         "power_spectrum": lambda s, d: power_spectrum(spectral.power(density(s, d), 0)),
         "gc_evolution": lambda s, d: gc_evolution(gc_time.sliding_gc(plain(s, d), "x1", "x0", 240, 48)),
-        "true_vs_estimated": lambda s, d: true_vs_estimated(gc_time.sliding_gc(plain(s, d), "x1", "x0", 240, 48), pair(s, d).withColumn("coupling", F.col("u0"))),
-        "adaptive_coupling": lambda s, d: adaptive_coupling(adaptive.rls(plain(s, d), 1, 0.99), pair(s, d).withColumn("coupling", F.col("u0")), 1),
-        "parameter_convergence": lambda s, d: parameter_convergence(adaptive.rls(plain(s, d), 1, 0.99), 1),
-        "gc_surface": lambda s, d: gc_surface(gc_spectral.adaptive_surface(adaptive.rls_coefficients(adaptive.rls(plain(s, d), 1, 0.99), 2, 1), 1, 40, 17)),
+        "true_vs_estimated": lambda s, d: true_vs_estimated(gc_time.sliding_gc(driven(s, d), "x1", "x0", 240, 48), driven(s, d)),
+        "adaptive_coupling": lambda s, d: adaptive_coupling(estimates(driven(s, d)), driven(s, d), 1),
+        "parameter_convergence": lambda s, d: parameter_convergence(estimates(pair(s, d)), 1),
+        "gc_surface": lambda s, d: gc_surface(gc_spectral.adaptive_surface(adaptive.rls_coefficients(estimates(pair(s, d)), 2, 1), 1, 40, 17)),
         "spectrum_comparison": lambda s, d: spectrum_comparison(target=spectral.power(density(s, d), 0), source=spectral.power(density(s, d), 1)),
-        "gc_comparison": lambda s, d: gc_comparison(plain=gc_spectral.spectral_gc(pair_model(s, d), 1, 33), geweke=gc_spectral.geweke_gc(pair_model(s, d), 1, 33)),
-        "latent_vs_observed": lambda s, d: latent_vs_observed(pair(s, d), downsample(zscore(pair(s, d), ["x0"]), 6), 6),
-        "smoothing": lambda s, d: smoothing(pair(s, d), observed(s, d), smooth(s, d), 200),
-        "mixed_observation": lambda s, d: mixed_observation(pair(s, d), ssm.latent_proxy(observed(s, d).drop("u0"), [[2.0]]), smooth(s, d), 200),
-        "log_likelihood": lambda s, d: log_likelihood(ssm.em(observed(s, d))),
-        "method_bars": lambda s, d: method_bars(gc_time.all_pairs_gc(plain(s, d)).withColumn("label", F.concat_ws("->", "source", "target")), "label", "gc"),
+        "gc_comparison": lambda s, d: gc_comparison(plain=gc_spectral.spectral_gc(pair_model(s, d), 1, 48), geweke=gc_spectral.geweke_gc(pair_model(s, d), 1, 48)),
+        "latent_vs_observed": lambda s, d: latent_vs_observed(pair(s, d), bold(s, d), 6),
+        "smoothing": lambda s, d: smoothing(pair(s, d), noisy(s, d), smooth(s, d), 200),
+        "mixed_observation": lambda s, d: mixed_observation(pair(s, d), ssm.latent_proxy(mixed(s, d), MIXING), unmixed(s, d), 200),
+        "log_likelihood": lambda s, d: log_likelihood(ssm.em(noisy(s, d))),
+        "method_bars": lambda s, d: method_bars(methods(s, d), "method", "gc"),
     }
     for name, chart in charts.items():
 
         def run(spark, sf_dir, chart=chart):
-            return chart(spark, sf_dir)
+            out = chart(spark, sf_dir)
+            return out.withColumns({c: F.round(c, 4) + 0.0 for c in ("x", "y", "z") if c in out.columns})
 
         run.__name__ = f"chart_{name}"
-        query()(run)
+        query(oracles.get(name))(run)

@@ -39,6 +39,7 @@ def kalman_smoother(df: DataFrame, a, b, q, r, c=None, d=None, mean0=None, cov0=
     """Predicted, filtered and smoothed states of each series for given parameters."""
     y, u = _named(df, "y"), _named(df, "u")
     a, b, q, r = (np.asarray(m, float) for m in (a, b, q, r))
+    c, d = (None if m is None else np.asarray(m, float) for m in (c, d))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, obs, drive = _inputs(pdf, y, u)

@@ -594,15 +594,36 @@ def rls_last(spark, sf_dir):
     return rounded(h.select("series_id", F.col("theta")[0].alias("b0"), F.col("theta")[1].alias("b1")), b0=6, b1=6)
 
 
-@query()
+def _rls_rel(order: int, ff: float, base: Q.Rel = Q.PAIR) -> Q.Rel:
+    """series_id, t, k, b<target>_<regressor>: the closed form for two channels, by elimination of discounted sums."""
+    x = lag_names(["x0", "x1"], order)
+    rows = f"SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS k FROM ({Q.lagged(base, ['x0', 'x1'], order)})"
+    cells = sorted({tuple(sorted(c)) for c in [(a, b) for a in x for b in x] + [(a, y) for a in x for y in ("x0", "x1")]})
+    sums = ", ".join(f"sum({a} * {b} * pow({ff}, -CAST(k AS DOUBLE))) OVER w * pow({ff}, CAST(k AS DOUBLE)) AS {Q.moment(a, b)}" for a, b in cells)
+    rel = Q.Rel(f"SELECT series_id, t, k, {sums}, pow({ff}, k + 1) / 1000.0 AS rd FROM ({rows}) WINDOW w AS (PARTITION BY series_id ORDER BY k)")
+    moment = lambda a, b: Q.moment(a, b) if "1" not in (a, b) else Sql("1.0")
+    for a, b in zip(*(G.elimination(moment, f"x{r}", x, Sql, f"e{r}", Sql("rd"))[:-2] for r in range(2)), strict=True):
+        rel = rel.stage(**(a | b))
+    return rel.pick("series_id", "t", "k", *(f"e{r}_b{j} AS b{r}_{j}" for r in range(2) for j in range(len(x))))
+
+
+@query(" UNION ALL ".join(f"SELECT series_id, CAST(k AS BIGINT) AS k, CAST(t AS BIGINT) AS t, {r * 4 + j} AS i, round(b{r}_{j}, 5) + 0.0 AS value FROM ({_rls_rel(2, 0.995)})" for r in range(2) for j in range(4)))
 def rls_order2(spark, sf_dir):
-    return adaptive.rls(pair(spark, sf_dir).drop("u0"), 2, 0.995)
+    h = adaptive.rls(pair(spark, sf_dir).drop("u0"), 2, 0.995)
+    return rounded(h.select("series_id", "k", "t", F.posexplode("theta").alias("i", "value")), value=5).withColumn("value", F.col("value") + 0.0)
 
 
-@query()
+def _surface(rel: Q.Rel, n_freqs: int) -> Q.Rel:
+    return Q.transfer(rel, 1, n_freqs).stage(gc=G.plain_spectral_gc(Q._named("h"), Q._sigma)).pick("series_id", "t", "f_idx", "omega", "gc")
+
+
+_EVERY = Q.Rel(f"SELECT series_id, t, b0_0 AS c100, b0_1 AS c101, b1_0 AS c110, b1_1 AS c111, 1.0 AS s00, 0.0 AS s01, 1.0 AS s11 FROM ({_rls_rel(1, 0.99)}) WHERE k % 20 = 0")
+
+
+@query(_round(_surface(_EVERY, SHORT), "series_id", "CAST(t AS BIGINT) AS t", "f_idx", omega=5, gc=5))
 def adaptive_gc_surface(spark, sf_dir):
     h = adaptive.rls_coefficients(adaptive.rls(pair(spark, sf_dir).drop("u0"), 1, 0.99), 2, 1)
-    return gc_spectral.adaptive_surface(h, 1, 20, SHORT)
+    return rounded(gc_spectral.adaptive_surface(h, 1, 20, SHORT), omega=5, gc=5)
 
 
 # signals
@@ -770,5 +791,72 @@ def simulate_fmri(spark, sf_dir):
     return simulate.fmri_data(spark, [[[0.5, 0.3], [0, 0.5]]], [[[0], [0.8]], [[0], [0]], [[0.8], [0]]], 0.5 * np.eye(2), 5000)
 
 
-report.register(query, pair, pair_model)
+# charts
+
+
+def _points(chart: str, rel, series: str, x: str, y: str, z: str | None = None) -> str:
+    last = f", round({z}, 4) + 0.0 AS z" if z else ""
+    return f"SELECT '{chart}' AS chart, {series} AS series, round(CAST({x} AS DOUBLE), 4) + 0.0 AS x, round(CAST({y} AS DOUBLE), 4) + 0.0 AS y{last} FROM ({rel})"
+
+
+def _named(text: str) -> str:
+    return f"'{text}'"
+
+
+def _sliding_sql(rel: Q.Rel, window: int, step: int) -> Q.Rel:
+    """series_id, center, gc of two channels at lag 1."""
+    some = f"SELECT unnest(range(0, (max(t) + 1 - {window}) // {step} + 1)) AS range FROM ({rel})"
+    rows = Q.Rel(f"SELECT l.*, w.range AS w FROM ({Q.lagged(rel, ['x0', 'x1'], 1)}) l JOIN ({some}) w ON l.t BETWEEN w.range * {step} + 1 AND w.range * {step} + {window - 1}")
+    return Q.gc(Q.moments(rows, ["x0", "x0_1", "x1_1"], "series_id, w"), "x0", ["x0_1"], ["x0_1", "x1_1"]).pick("series_id", "gc", center=f"w * {step} + {window // 2}")
+
+
+def _smooth_sql(base: str, a: float, b: float, q: float, r: float) -> str:
+    """t, x of a scalar filter and smoother over t, y, u."""
+    return f"""WITH RECURSIVE d AS ({base}), k AS (
+        SELECT t, 100.0::DOUBLE / (100.0 + {r}) * y AS x, 100.0::DOUBLE * {r} / (100.0 + {r}) AS p, 0.0::DOUBLE AS m, 100.0::DOUBLE AS v FROM d WHERE t = 0
+        UNION ALL SELECT t, m + v / (v + {r}) * (y - m), v * {r} / (v + {r}), m, v FROM (SELECT d.t, d.y, {a} * k.x + {b} * d.u AS m, {a} * {a} * k.p + {q} AS v FROM k JOIN d ON d.t = k.t + 1)),
+        s AS (SELECT t, x FROM k WHERE t = (SELECT max(t) FROM d)
+        UNION ALL SELECT k.t, k.x + k.p * {a} / n.v * (s.x - n.m) FROM s JOIN k ON k.t = s.t - 1 JOIN k n ON n.t = s.t)
+        SELECT * FROM s"""
+
+
+_COUPLED = Q.Rel(f"SELECT series_id, t, c * coalesce(lag(x1) OVER (PARTITION BY series_id ORDER BY t), 0.0) + u0 AS x0, x1, c AS coupling FROM (SELECT *, 0.8 - 0.7 * t / max(t) OVER (PARTITION BY series_id) AS c FROM ({Q.PAIR}))")
+_FEW = 48
+_DENSITY_FEW = Q.long_form(Q.density(MODEL1, 1, _FEW), "s")
+_NOISY = f"SELECT t, x0 + x1 - u0 AS y, u0 AS u FROM ({Q.PAIR})"
+_MIX = np.linalg.inv(np.array(report.MIXING))
+_MIXED = f"SELECT series_id, t, {report.MIXING[0][0]} * x0 + {report.MIXING[0][1]} * x1 + 0.5 * u0 AS y0, {report.MIXING[1][0]} * x0 + {report.MIXING[1][1]} * x1 AS y1 FROM ({Q.PAIR})"
+_PROXY = f"SELECT t, {float(_MIX[0, 0])!r} * y0 + {float(_MIX[0, 1])!r} * y1 AS y, 0.0 AS u FROM ({_MIXED})"
+_BOLD = f"SELECT e.t, sum(b.x0 * h.weight) AS v FROM ({Q.PAIR}) e JOIN ({_HRF}) h ON h.k <= e.t JOIN ({Q.PAIR}) b ON b.t = e.t - h.k WHERE e.t % 6 = 0 GROUP BY e.t"
+_SURFACE = Q.Rel(f"SELECT series_id, t, b0_0 AS c100, b0_1 AS c101, b1_0 AS c110, b1_1 AS c111, 1.0 AS s00, 0.0 AS s01, 1.0 AS s11 FROM ({_rls_rel(1, 0.99)}) WHERE k % 40 = 0")
+
+
+_omega = f"omega / {math.pi!r}"
+_scaled_power = lambda k: f"SELECT *, re / max(re) OVER (PARTITION BY series_id) AS part FROM ({_DENSITY_FEW}) WHERE row = {k} AND col = {k}"
+CHARTS = {
+    "spectral_gc": _points("spectral_gc", Q.plain_gc(MODEL1, 1, _FEW), "series_id", _omega, "gc"),
+    "residual_acf": _points("residual_acf", f"SELECT * FROM ({_acf_sql()}) WHERE lag <= 5", "'channel ' || channel", "lag", "acf"),
+    "information_criteria": " UNION ALL ".join(_points("information_criteria", _orders_sql(5), _named(c), "p", c) for c in ("aic", "bic")),
+    "power_spectrum": _points("power_spectrum", f"SELECT * FROM ({_DENSITY_FEW}) WHERE row = 0 AND col = 0", "series_id", _omega, "re"),
+    "gc_evolution": _points("gc_evolution", _sliding_sql(Q.PAIR, 240, 48), "series_id", "center", "gc"),
+    "true_vs_estimated": _points("true_vs_estimated", _COUPLED, _named("true"), "t", "coupling") + " UNION ALL " + _points("true_vs_estimated", _sliding_sql(_COUPLED, 240, 48), _named("estimated"), "center", "gc"),
+    "adaptive_coupling": _points("adaptive_coupling", _COUPLED, _named("true"), "t", "coupling") + " UNION ALL " + _points("adaptive_coupling", _rls_rel(1, 0.99, _COUPLED), _named("estimated"), "t", "b0_1"),
+    "parameter_convergence": _points("parameter_convergence", _rls_rel(1, 0.99), "series_id", "t", "b0_1"),
+    "gc_surface": _points("gc_surface", _surface(_SURFACE, 17), "series_id", "t", "omega", "gc"),
+    "spectrum_comparison": " UNION ALL ".join(_points("spectrum_comparison", _scaled_power(k), _named(n), _omega, "part") for k, n in enumerate(("target", "source"))),
+    "gc_comparison": _points("gc_comparison", Q.plain_gc(MODEL1, 1, _FEW), _named("plain"), _omega, "gc") + " UNION ALL " + _points("gc_comparison", Q.geweke_gc(MODEL1, 1, _FEW), _named("geweke"), _omega, "gc"),
+    "latent_vs_observed": _points("latent_vs_observed", f"SELECT t // 6 AS t, x0 FROM ({Q.PAIR}) WHERE t % 6 = 0", _named("latent"), "t", "x0") + " UNION ALL " + _points("latent_vs_observed", f"SELECT t // 6 AS t, (v - avg(v) OVER ()) / (stddev_pop(v) OVER () + 1e-12) AS z FROM ({_BOLD})", _named("observed"), "t", "z"),
+    "smoothing": " UNION ALL ".join(_points("smoothing", f"SELECT * FROM ({rel}) WHERE t < 200", _named(n), "t", v) for n, rel, v in (("true", Q.PAIR, "x0"), ("observed", _NOISY, "y"), ("smoothed", _smooth_sql(_NOISY, 0.8, 0.1, 1.0, 4.0), "x"))),
+    "mixed_observation": " UNION ALL ".join(_points("mixed_observation", f"SELECT * FROM ({rel}) WHERE t < 200", _named(n), "t", v) for n, rel, v in (("true", Q.PAIR, "x0"), ("proxy", _PROXY, "y"), ("smoothed", _smooth_sql(_PROXY, 0.6, 0.0, 0.15, 0.6), "x"))),
+    "method_bars": " UNION ALL ".join(
+        _points("method_bars", rel, _named(n), "0", "gc")
+        for n, rel in (
+            ("var", Q.gc(_pair_sums(1), "x0", ["x0_1"], ["x0_1", "x1_1"])),
+            ("varx", Q.gc(_pair_sums(1, ("u0",)), "x0", ["x0_1", "u0"], ["x0_1", "x1_1", "u0"])),
+            ("varx ridge", Q.gc(_pair_sums(1, ("u0",)), "x0", ["x0_1", "u0"], ["x0_1", "x1_1", "u0"], 10.0)),
+            ("model", _MODEL_GC),
+        )
+    ),
+}
+report.register(query, pair, pair_model, CHARTS)
 

@@ -429,6 +429,39 @@ def test_simulators(spark):
     assert again.toPandas().equals(again.repartition(3).orderBy("t").toPandas())
 
 
+def test_simulators_take_the_callers_input(spark):
+    rows = [(i, t, float(t % 5), 1.0) for i in ("a", "b") for t in range(10, 60)]
+    u = spark.createDataFrame(rows, "series_id string, t long, u0 double, u1 double")
+    b, still = [[[1.0, 0.0], [0.0, 2.0]], [[0.5, 0.0], [0.0, 0.0]]], np.zeros((2, 2))
+    got = simulate.varx_data(spark, np.zeros((1, 2, 2)), b, still, inputs=u).orderBy("series_id", "t").collect()
+    assert [(r.series_id, r.t) for r in got] == [(r[0], r[1]) for r in sorted(rows)] and all(r.u0 == r.t % 5 for r in got)
+    assert all(abs(r.x0 - (r.t % 5 + (0.5 * ((r.t - 1) % 5) if r.t > 10 else 0))) < 1e-9 and abs(r.x1 - 2) < 1e-9 for r in got)
+    s = simulate.ssm_data(spark, [[0.5]], [[1.0, 0.0]], [[0.0]], [[0.0]], x0=[8.0], inputs=u.where("series_id = 'a'")).orderBy("t").collect()
+    assert s[0].x0 == 8 and s[1].x0 == 4 + 11 % 5 and all(abs(r.y0 - r.x0) < 1e-9 for r in s)
+    seen, neural = simulate.fmri_data(spark, np.zeros((1, 2, 2)), b, np.eye(2), inputs=u, tr_neural=0.5, tr=1.0, neural=True)
+    assert neural.count() == 100 and seen.count() == 50 and seen.columns == ["series_id", "t", "x0", "x1", "u0", "u1"]
+
+
+def test_order_moments_are_the_sums(spark):
+    x = np.random.default_rng(1).normal(size=(23, 2))
+    for most in (4, 9):
+        sums = np.array([x[h:].T @ x[: len(x) - h] for h in range(most + 1)])
+        for p, m in M.order_moments(len(x), x.sum(axis=0), sums, x[:most], x[-most:]):
+            z = np.hstack([np.ones((23 - p, 1)), *(x[p - k : 23 - k] for k in range(p + 1))])
+            assert np.allclose(m, z.T @ z)
+
+
+def test_order_selection_in_blocks(spark, monkeypatch):
+    df = simulate.var_data(spark, [[[0.5, 0.3], [0, 1.2]], [[0, 0], [0, -0.5]]], np.eye(2), 900, ids=("a", "b")).where("series_id = 'a' or t < 37")
+    whole = var.select_order(df, 6).orderBy("series_id", "p").toPandas()
+    monkeypatch.setattr(var, "BLOCK", 16)
+    parts = var.select_order(df, 6).orderBy("series_id", "p").toPandas()
+    assert len(whole) == 12 and np.allclose(whole[["aic", "bic"]], parts[["aic", "bic"]], atol=1e-9)
+    for p in (1, 6):
+        sigma = M.fit_var(data_of(df, "b"), p)[1]
+        assert abs(whole[(whole.series_id == "b") & (whole.p == p)].aic.iloc[0] - np.linalg.slogdet(sigma)[1] - 8 * p / 37) < 1e-9
+
+
 def test_series_forms(spark, pair):
     a = pair.orderBy("series_id", "t").toPandas()
     for b in (series.to_wide(series.to_long(pair), 2), series.from_vectors(series.to_vectors(pair), 2)):
