@@ -16,7 +16,7 @@ each word the item has, -1 for any other, over the best stretch) and, if that su
 The items are a stated query set: they are collected and broadcast where their text is below
 ``item_bytes`` (checked), and in slices below it otherwise, one after another, against all
 documents. Documents are never shuffled. Null or empty documents match nothing, nor do items
-without a word; repeated items are items of their own.
+without a word; repeated items are items of their own, repeated documents are searched each. Extra columns are ignored, or kept by without_contaminated().
 """
 
 from __future__ import annotations
@@ -218,8 +218,8 @@ def _prepared(docs: DataFrame, items: DataFrame, n: int, least: float, item_byte
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["word", "n"])
 
         counts = np.zeros(len(index.vocabulary), np.int64)
-        for row in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # as many as the items have words
-            counts[row.word] = row.n
+        found = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # as many as the items have words
+        counts[found["word"].to_numpy()] = found["n"].to_numpy()
         index.choose(counts)
         yield index
 

@@ -698,7 +698,7 @@ def test_decontamination_of_short_items(spark):
 
 def test_repeated_rows_of_many_operators(spark, tokenizers):
     """A third of all rows is one row: each of its copies gets a row, and the same one."""
-    from causeway.llm import licenses, media, packing, substring_dedup
+    from causeway.llm import decontaminate, licenses, media, packing, substring_dedup
 
     docs = make_docs(spark, [" ".join(f"w{k}" for k in range(50)), "some other text", None])
     docs = docs.union(docs.where("doc_id = 0").select(*[F.explode(F.sequence(F.lit(1), F.lit(40))).alias("k"), "*"]).drop("k")).repartition(4)
@@ -707,6 +707,12 @@ def test_repeated_rows_of_many_operators(spark, tokenizers):
     assert substring_dedup.remove_repeats(docs).where("n_removed = 50 and text = ''").count() == 41
     pieces = packing.pack(docs, tokenizers[1].path("word_bpe_49k.json")).where("doc_id = 0").groupBy("doc_tokens").agg(F.sum("length").alias("n")).collect()
     assert len(pieces) == 1 and pieces[0].n == 41 * pieces[0].doc_tokens
+    nameless = packing.pack(docs.withColumn("doc_id", F.lit(None).cast("long")), tokenizers[1].path("word_bpe_49k.json"))
+    assert nameless.where("doc_id is not null").count() == 0 and nameless.agg(F.sum("length")).first()[0] == packing.pack(docs, tokenizers[1].path("word_bpe_49k.json")).agg(F.sum("length")).first()[0]
+    item = spark.createDataFrame([(7, "w3 w4 w5 w6 w7 w8"), (8, "w3 w4 w5 w6 w7 w8")], "item_id long, text string")
+    found = decontaminate.contaminated(docs, item).groupBy("doc_id", "item_id", "score").count().collect()  # and tied items
+    assert sorted((x.doc_id, x.item_id, x.score, x["count"]) for x in found) == [(0, 7, 1.0, 41), (0, 8, 1.0, 41)]
+    assert decontaminate.without_contaminated(docs.withColumn("score", F.lit("s")), item).where("score = 's'").count() == 2
 
 
 # pipeline
@@ -734,8 +740,25 @@ def test_pipeline_by_force(spark, tmp_path, tokenizers):
             ids = sorted(kept)
             want = {ids[r] for _, r in components_by_force([kept[k] for k in ids], 5, 80).values()}
             assert set(rows) == want
+        if name == "substring_dedup":
+            split = {r.doc_id: words(r.text) for r in before.collect()}
+            count = collections.Counter(tuple(w[i : i + 35]) for w in split.values() for i in range(len(w) - 34))
+            want = {}
+            for k, w in split.items():
+                gone = {i + j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(35)}
+                if left := b" ".join(x for i, x in enumerate(w) if i not in gone).decode():
+                    want[k] = left
+            assert {k: r.text for k, r in rows.items()} == want and all(r.n_chars == len(r.text) for r in rows.values())
         if name == "decontamination":
-            assert {r.doc_id for r in before.collect()} - set(rows) == {len(texts) - 1}
+            item = re.findall("[a-z0-9]+", leak)
+            held = {r.doc_id for r in before.collect() if align_by_force(item, re.findall("[a-z0-9]+", r.text.lower())) >= len(item)}
+            assert {r.doc_id for r in before.collect()} - set(rows) == held == {len(texts) - 1}
+        if name == "packing":
+            plain = tokenizers[0].Tokenizer.from_file(tokenizers[1].path("word_bpe_49k.json"))
+            ids = {r.doc_id: np.array([*plain.encode(r.text, add_special_tokens=False).ids, 1], "<u4") for r in before.collect()}
+            pieces = step.collect()
+            assert sum(p.length for p in pieces) == sum(map(len, ids.values()))
+            assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(ids[p.doc_id]) for p in pieces)
         seen.append(len(rows))
     assert seen[-1] == seen[-2] and c.run(spark, str(tmp_path)).count() > 0
 
