@@ -160,11 +160,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ratios:
-    """The tables in memory: sorted keys of runs and of contexts, and their ratios."""
+    """The tables in memory: sorted keys of runs and of contexts, and their ratios by model."""
 
     def __init__(self, key: np.ndarray, ratio: np.ndarray):
+        self.key, self.ratio = key, ratio  # the last row of ratios is that of what was never seen
+
+    @classmethod
+    def sorted(cls, key: np.ndarray, columns: list[np.ndarray]) -> Ratios:
         order = np.argsort(key)
-        self.key, self.ratio = key[order], np.append(ratio[order], [0.0]).astype(np.float32)
+        ratio = np.zeros((len(key) + 1, len(columns)), np.float32)
+        for m, column in enumerate(columns):
+            ratio[:-1, m] = column[order]
+        return cls(key[order], ratio)
+
+    def only(self, model: int) -> Ratios:
+        """The same with the ratios of one model, as each number of a model."""
+        return Ratios(self.key, np.ascontiguousarray(self.ratio[:, model : model + 1]))
 
     def _at(self, wanted: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -172,7 +183,7 @@ class Ratios:
         at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
         return np.where(self.key[at] == wanted, at, -1)
 
-    def words(self, letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, letters: np.ndarray, at: np.ndarray, model: int) -> tuple[np.ndarray, np.ndarray]:
         """The ratio and the number of characters (the end is one) of each word."""
         if len(at) < 2:
             return np.zeros(0), np.zeros(0, np.int64)
@@ -180,13 +191,13 @@ class Ratios:
         found = self._at(keys(grams))
         lost = np.flatnonzero(found < 0)
         found[lost] = self._at(keys(grams[lost, :-1]))  # never seen: what is left in its context; a context never seen: 0, the last entry
-        return np.add.reduceat(self.ratio[found].astype(np.float64), starts[:-1]), np.diff(starts)
+        return np.add.reduceat(self.ratio[found, min(model, self.ratio.shape[1] - 1)].astype(np.float64), starts[:-1]), np.diff(starts)
 
 
-def features_of(ratios: Ratios, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def features_of(ratios: Ratios, model: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Both comparisons for each text."""
     first, of, letters, at = words_of(data, offsets)
-    each, size = ratios.words(letters, at)
+    each, size = ratios.words(letters, at, model)
     total, chars, over = (np.diff(np.concatenate(([0.0], np.cumsum(v[of] if len(v) else np.zeros(0))))[first]) for v in (each, size, np.maximum(each - LEVEL, 0)))
     return np.stack([total / np.maximum(1, chars), over / np.sqrt(np.maximum(1, np.diff(first)))], 1)
 
@@ -218,16 +229,15 @@ def shifted(w: np.ndarray, x: np.ndarray, y: np.ndarray, cut: float = 0.3) -> np
     return out
 
 
-def _held(tables: DataFrame, entries: int) -> list[Ratios] | None:
+def _held(tables: DataFrame, entries: int) -> Ratios | None:
     """The tables in memory; None if they have more than ``entries`` entries."""
     if tables.count() > entries:
         return None
     rows = tables.mapInArrow(_keyed, f"key long, {_RATIOS}").toArrow()  # at most ``entries`` rows
-    key = rows["key"].to_numpy()
-    return [Ratios(key, rows[f"r{m}"].to_numpy()) for m in _MODELS]
+    return Ratios.sorted(rows["key"].to_numpy(), [rows[f"r{m}"].to_numpy() for m in _MODELS])
 
 
-def _featured(rows: DataFrame, tables: DataFrame, held: list[Ratios] | None) -> DataFrame:
+def _featured(rows: DataFrame, tables: DataFrame, held: Ratios | None) -> DataFrame:
     """``rows`` (id, text, model) as (id, f0, f1) by the model of that number."""
     spark = rows.sparkSession
     kind = rows.schema["id"].dataType
@@ -240,7 +250,7 @@ def _featured(rows: DataFrame, tables: DataFrame, held: list[Ratios] | None) ->
                     model = some["model"].to_numpy()
                     x = np.zeros((len(model), 2))
                     for m in np.unique(model).tolist():
-                        x = np.where((model == m)[:, None], features_of(sent.value[m], data, offsets), x)
+                        x = np.where((model == m)[:, None], features_of(sent.value, m, data, offsets), x)
                     yield pa.RecordBatch.from_arrays([some["id"].combine_chunks(), pa.array(x[:, 0]), pa.array(x[:, 1])], ["id", "f0", "f1"])
 
         return rows.mapInArrow(short, f"id {kind.simpleString()}, f0 double, f1 double")
@@ -282,7 +292,7 @@ def _featured(rows: DataFrame, tables: DataFrame, held: list[Ratios] | None) ->
     return sums.select("id", (F.col("total") / F.greatest("chars", F.lit(1))).alias("f0"), (F.col("over") / F.sqrt(F.greatest("n", F.lit(1)))).alias("f1"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000, table_entries: int = 4_000_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000, table_entries: int = 2_000_000) -> DataFrame:
     """(doc_id, score) of each row of ``docs`` (doc_id, text), learned from its ``usable`` rows and ``labels`` (doc_id, toxic).
 
     ``sample`` bounds the rows that the curve is fitted on, ``table_entries`` the entries that are broadcast.
@@ -308,6 +318,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: i
     found = np.array(sorted((r["id"], r["f0"], r["f1"]) for r in found))
     y = found[:, 0] if len(found) else np.zeros(0)
     curve = shifted(fit_curve(found[:, 1:], y), found[:, 1:], y) if len(set(y.tolist())) > 1 else np.array([10.0, 1.0, -3.0])
-    whole = _featured(docs.select(F.col("doc_id").alias("id"), "text", F.lit(FOLDS).alias("model")), tables, held)
+    whole = _featured(docs.select(F.col("doc_id").alias("id"), "text", F.lit(FOLDS).alias("model")), tables, held and held.only(FOLDS))
     z = F.lit(float(curve[0])) * F.col("f0") + F.lit(float(curve[1])) * F.col("f1") + F.lit(float(curve[2]))
     return whole.select(F.col("id").alias("doc_id"), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
