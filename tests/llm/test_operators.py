@@ -686,6 +686,27 @@ def test_decontamination_by_force(spark):
         assert got == pytest.approx(expected) and {(0, 14), (1, 15)} <= set(got)
 
 
+@pytest.mark.parametrize("edit", ["changed", "inserted", "dropped"])
+def test_decontamination_recall_by_distance_of_edits(spark, edit):
+    from causeway.llm.decontaminate import contaminated
+
+    r = random.Random(12)
+    items = [[f"i{k}w{j}" if j % 3 else f"c{r.randrange(20)}" for j in range(r.randrange(9, 40))] for k in range(10)]
+    texts, apart = [], []
+    for k, item in enumerate(items):
+        for every in range(3, 11):
+            copy = []
+            for j, w in enumerate(item):
+                hit = j % every == every - 1
+                copy += ["new"] if hit and edit == "changed" else [w, "new"] if hit and edit == "inserted" else [] if hit and edit == "dropped" else [w]
+            texts.append(["a"] * 5 + copy + [f"c{r.randrange(20)}" for _ in range(8)])
+            apart.append((k, every))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if align_by_force(x, t) >= max(len(x) - 1e-9, 5)}
+    got = {(x.doc_id, x.item_id) for x in contaminated(make_docs(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+    assert got == want and {(d, k) for d, (k, every) in enumerate(apart) if every >= 4} <= want
+
+
 def test_decontamination_of_short_items(spark):
     from causeway.llm.decontaminate import contaminated
 
