@@ -98,7 +98,7 @@ def _bits(table: pa.Table, total: int, buckets: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with the kept words as text, and n_words and n_removed; ``group_bytes`` of text are held in memory at a time."""
     if window < 2:
         raise ValueError("window must be 2 words at least")
