@@ -70,10 +70,10 @@ def factor_gc(factored: DataFrame, spectrum: DataFrame, direction: str = "1->0",
     return rows.select("series_id", "f_idx", "omega", (F.when((gc > -1e-8) & (gc < 0), 0.0).otherwise(gc) if clip else gc).alias("gc"))
 
 
-def adaptive_surface(histories: DataFrame, order: int, stride: int = 20, n_freqs: int = 128) -> DataFrame:
+def adaptive_surface(histories: DataFrame, order: int, stride: int = 20, n_freqs: int | Sequence[float] = 128) -> DataFrame:
     """(series_id, t, f_idx, omega, gc) of every ``stride``-th two-channel coefficient estimate, innovations of unit covariance.
 
-    ``histories``: (series_id, k, t, coef) of :func:`causeway.operators.adaptive.rls_coefficients`.
+    ``histories``: (series_id, k, t, coef) of :func:`causeway.operators.adaptive.rls_coefficients`; ``n_freqs`` may be the frequencies themselves.
     """
     some = histories.where(F.col("k") % stride == 0).withColumn("sigma", F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 1.0))))
     out = S.transfer_pair(some, order, n_freqs)

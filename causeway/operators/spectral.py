@@ -7,7 +7,7 @@ by ``sequence`` and exploded, so no cross join is planned.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,10 @@ from causeway.functions import matrices as M
 SPECTRUM = "series_id string, f_idx int, omega double, row int, col int, re double, im double"
 
 
-def on_grid(df: DataFrame, n_freqs: int = 512) -> DataFrame:
-    """``df`` with f_idx and omega: ``n_freqs`` points from 0 to pi, both included."""
+def on_grid(df: DataFrame, n_freqs: int | Sequence[float] = 512) -> DataFrame:
+    """``df`` with f_idx and omega: ``n_freqs`` points from 0 to pi, both included, or the caller's own frequencies."""
+    if not isinstance(n_freqs, int):
+        return df.select("*", F.posexplode(F.array(*(F.lit(float(w)) for w in n_freqs))).alias("f_idx", "omega"))
     out = df.withColumn("f_idx", F.explode(F.sequence(F.lit(0), F.lit(n_freqs - 1))))
     return out.withColumn("omega", F.col("f_idx") * (math.pi / (n_freqs - 1)))
 

@@ -626,6 +626,16 @@ def adaptive_gc_surface(spark, sf_dir):
     return rounded(gc_spectral.adaptive_surface(h, 1, 20, SHORT), omega=5, gc=5)
 
 
+_OWN_GRID = [0.05, 0.3, 0.31, 1.0, 2.5, 3.1]
+
+
+@query(_round(_surface(_EVERY, _OWN_GRID), "series_id", "CAST(t AS BIGINT) AS t", "f_idx", omega=5, gc=5))
+def adaptive_gc_on_own_grid(spark, sf_dir):
+    """Over time at the caller's frequencies."""
+    h = adaptive.rls_coefficients(adaptive.rls(pair(spark, sf_dir).drop("u0"), 1, 0.99), 2, 1)
+    return rounded(gc_spectral.adaptive_surface(h, 1, 20, _OWN_GRID), omega=5, gc=5)
+
+
 # signals
 
 _HRF_FINE = "SELECT range AS i, pow(range * 0.1, 5) * exp(-range * 0.1) / 120.0 - pow(range * 0.1, 15) * exp(-range * 0.1) / 1307674368000.0 / 6 AS v FROM range(320)"

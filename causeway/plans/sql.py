@@ -99,7 +99,6 @@ def eliminated_model(rel: Rel, order: int) -> Rel:
     names = ["x0", "x1"]
     x = lag_names(names, order)
     out = moments(lagged(rel, names, order), [*names, *x])
-    # the columns of each step, but no older ones than needed, so that the text stays short
     steps = [G.elimination(moment, y, x, Sql, f"e{r}") for r, y in enumerate(names)]
     for a, b in zip(*steps, strict=True):
         out = out.stage(**(a | b))
@@ -132,8 +131,12 @@ def _named(prefix: str) -> list[list[G.Complex]]:
     return [[G.Complex(Sql(f"{prefix}{r}{c}_re"), Sql(f"{prefix}{r}{c}_im")) for c in range(2)] for r in range(2)]
 
 
-def transfer(rel: Rel, order: int, n_freqs: int) -> Rel:
-    grid = Rel(f"SELECT m.*, CAST(f.range AS INTEGER) AS f_idx, f.range * {math.pi / (n_freqs - 1)!r} AS omega FROM ({rel}) m CROSS JOIN range({n_freqs}) f")
+def transfer(rel: Rel, order: int, n_freqs: int | Sequence[float]) -> Rel:
+    if not isinstance(n_freqs, int):
+        points = ", ".join(f"({k}, {float(w)!r})" for k, w in enumerate(n_freqs))
+        grid = Rel(f"SELECT m.*, CAST(f.k AS INTEGER) AS f_idx, CAST(f.w AS DOUBLE) AS omega FROM ({rel}) m CROSS JOIN (VALUES {points}) f(k, w)")
+    else:
+        grid = Rel(f"SELECT m.*, CAST(f.range AS INTEGER) AS f_idx, f.range * {math.pi / (n_freqs - 1)!r} AS omega FROM ({rel}) m CROSS JOIN range({n_freqs}) f")
     out = _stage(grid, "a", G.lag_polynomial(lambda k, r, c: Sql(f"c{k}{r}{c}"), order, Sql("omega")))
     return _stage(out, "h", G.inverse(_named("a")))
 
