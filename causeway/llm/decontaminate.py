@@ -16,7 +16,8 @@ each word the item has, -1 for any other, over the best stretch) and, if that su
 The items are a stated query set: they are collected and broadcast where their text is below
 ``item_bytes`` (checked), and in slices below it otherwise, one after another, against all
 documents. Documents are never shuffled. Null or empty documents match nothing, nor do items
-without a word; repeated items are items of their own, repeated documents are searched each. Extra columns are ignored, or kept by without_contaminated().
+without a word; repeated items are items of their own, those with a null id too, repeated documents are searched each. Ids may be of any type that orders.
+Extra columns are ignored, or kept by without_contaminated().
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from causeway.llm import arrays as A
 
@@ -199,7 +202,7 @@ def _slices(items: DataFrame, item_bytes: int) -> Iterator[tuple[list, list]]:
     slices = max(1, -(-2 * total // item_bytes)) if total > item_bytes else 1
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = sorted((r.item_id, r.text) for r in part.collect())
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, *r))
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
@@ -227,7 +230,9 @@ def _prepared(docs: DataFrame, items: DataFrame, n: int, least: float, item_byte
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, item_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, score, n_seeds) of each document and item of which it holds a copy, from a score of ``least`` on."""
     spark, out = docs.sparkSession, None
-    kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
+    of_item = items.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", of_item), T.StructField("score", T.DoubleType()), T.StructField("n_seeds", T.LongType())])
+    kind = to_arrow_type(of_item)
     for index in _prepared(docs, items, n, least, item_bytes):
         held = spark.sparkContext.broadcast(index)
 
@@ -235,10 +240,10 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0
             for batch in batches:
                 for rows, data, offsets in A.text_slices(batch):
                     text, item, score, seeds = _matches(held.value, data, offsets)
-                    ids = pa.array([held.value.ids[k] for k in item.tolist()], pa.int64() if kinds[1].simpleString() in ("bigint", "int") else pa.string())
+                    ids = pa.array([held.value.ids[k] for k in item.tolist()], kind)
                     yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(pa.array(text, pa.int64())), ids, pa.array(score, pa.float64()), pa.array(seeds, pa.int64())], ["doc_id", "item_id", "score", "n_seeds"])
 
-        found = docs.select("doc_id", "text").mapInArrow(match, f"doc_id {kinds[0]}, item_id {'long' if kinds[1].simpleString() in ('bigint', 'int') else 'string'}, score double, n_seeds long")
+        found = docs.select("doc_id", "text").mapInArrow(match, schema)
         out = found if out is None else out.union(found)
     return out
 
