@@ -14,7 +14,7 @@ on, and within a span only that span's times are sorted together: the number of
 meet their URL's times by a join in which a hot (URL, time) is broadcast.
 
 Rows with a null url or time match nothing ('no_response'); null headers are none; repeated
-rows are resolved each; an empty table gives no rows. Extra columns are ignored.
+rows are resolved each; values of header names that differ in case alone are joined by commas (RFC 9110, 5.3) in the order of these names, null ones left out; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +63,14 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def _by_name(headers: Column) -> Column:
+    """Headers by their names in lower case."""
+    entries = F.array_sort(F.map_entries(headers))  # maps have no order
+    names = F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+    values = lambda n: F.filter(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), F.isnotnull)
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.when(F.size(values(n)) > 0, F.array_join(values(n), ", "))))
+
+
 def _place(value: Column, cuts: list[float]) -> Column:
     """How many of the ascending ``cuts`` are below ``value``: whole blocks first, then within one."""
     width = math.isqrt(len(cuts) - 1) + 1
@@ -102,10 +110,9 @@ def resolve_revisits(records: DataFrame, spans: int | None = None, span_rows: in
     check = F.coalesce(_same(F.col("digest"), r["digest"]), _same(_strong(F.col("etag")), _strong(r["etag"])), _same(F.col("last_modified"), r["last_modified"]))
     outcome = F.when(r.isNull(), "no_response").when(check.isNull(), "unverified").when(check, "resolved").otherwise("mismatch")
     joined_ = joined_.withColumn("outcome", outcome).withColumn("good", F.col("outcome").isin("resolved", "unverified"))
-    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
     none = F.create_map().cast("map<string,string>")
-    old = F.coalesce(lower(F.from_json(r["headers"], "map<string,string>")), none)
-    new = F.map_filter(F.coalesce(lower(F.col("headers")), none), lambda k, _: ~k.isin(FORBIDDEN))
+    old = F.coalesce(_by_name(F.from_json(r["headers"], "map<string,string>")), none)
+    new = F.map_filter(F.coalesce(_by_name(F.col("headers")), none), lambda k, _: ~k.isin(FORBIDDEN))
     kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
     merged = F.when(F.col("good"), F.map_from_entries(F.array_sort(F.concat(F.map_entries(kept), F.map_entries(new)))))
     out = joined_.select("record_id", "canonical_url", F.when(F.col("good"), r["record_id"]).alias("response_id"), "outcome", F.when(F.col("good"), r["digest"]).alias("digest"), merged.alias("headers"))
