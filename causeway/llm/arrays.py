@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,6 +52,11 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever its characters."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Runs of rows with about ``size`` bytes of text (one row may be longer): rows, UTF-8 bytes, offsets of the texts."""
     if isinstance(table, pa.RecordBatch):

@@ -152,7 +152,7 @@ def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     A.small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     named = docs.withColumn("lang_pred", F.arrow_udf(predict, "lang_pred string, score double")("text", _letter()))
-    return named.select(*(F.col(f"`{c}`") for c in docs.columns), "lang_pred.lang_pred", "lang_pred.score")
+    return named.select(*(A.column(c) for c in docs.columns), "lang_pred.lang_pred", "lang_pred.score")
 
 
 def _letter() -> Column:
@@ -175,6 +175,6 @@ def recognised(docs: DataFrame, least: float = 0.4, sample: int = 2000) -> DataF
         return docs.where(_letter())
     old = docs.columns
     if not {"lang_pred", "score"} & set(old):
-        return _predicted(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in old))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in old)).alias("r"), "text")  # columns of these names stay what they are
+        return _predicted(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(A.column(c) for c in old))
+    packed = docs.select(F.struct(*(A.column(c) for c in old)).alias("r"), "text")  # columns of these names stay what they are
     return _predicted(packed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("r.*")

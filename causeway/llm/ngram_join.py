@@ -429,7 +429,7 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, componen
     first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "node", "text_hash")).alias("first")).select("first.doc_id", "first.text_hash")
     again = settled(linked.groupBy(*row).agg(F.count("*").alias("rows")).where("rows > 1").select(row).join(first, row, "left_semi"), "again")
     stay = first.union(classes.where("component is null and doc_id is not null").select(row)).hint("merge")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), "doc_id", F.xxhash64("text").alias("text_hash"))  # names can't clash
+    packed = docs.select(F.struct(*(A.column(c) for c in docs.columns)).alias("r"), "doc_id", F.xxhash64("text").alias("text_hash"))  # names can't clash
     kept = packed.join(stay, row, "left_semi")
     if not again.isEmpty():
         once = kept.join(again.hint("merge"), row, "left_semi").groupBy(*row).agg(F.first("r").alias("r"))

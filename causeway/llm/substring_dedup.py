@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, group_bytes: int = 4 << 20
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
     # the same columns for each use, so that all read one exchange; the others travel packed, their names can't clash
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    packed = F.struct(*(A.column(c) for c in others)) if others else F.lit(None).cast("int")
     dealt = docs.select("doc_id", "text", packed.alias("others"), F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("grp"))
 
     def probe(key, table):
