@@ -7,7 +7,7 @@ the token ids, in 2 bytes each where all of the record's are below 65536, else i
 before it in the file and of its own (8 bytes each), so that readers can fetch any record, in any order.
 
 Documents are dealt by ranges of ids, so that files in order hold ascending ids (null ids first,
-equal ids ordered by text). A file is written under a name that no other attempt has, and the
+equal ids ordered by text; the ranges go by the first characters of texts too, so that one id of many texts is many files). A file is written under a name that no other attempt has, and the
 table of files lists those of finished tasks only: a lost executor leaves a file that nothing
 refers to. Null texts count as empty; ids must be of a whole-number type (ValueError otherwise). Repeated rows are records each; an
 empty table gives no files. Extra columns are ignored.
@@ -34,6 +34,8 @@ from causeway.llm.tokens import encoder
 from causeway.runtime import new_folder, settled
 
 FILE_BYTES = 256 << 20
+#: Characters of a text that tell ranges of equal ids apart.
+LEAD = 32
 _SPAN = 256
 _BATCH = 1024
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("before", "<u8"), ("ids", "<u8")])
@@ -157,7 +159,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | None
         raise ValueError("doc_id must be a whole number: records hold it in 8 bytes")
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes // FILE_BYTES)  # no file needs more than its share of the text
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.substring("text", 1, LEAD)).sortWithinPartitions("doc_id", "text")
     files = settled(ordered.mapInArrow(lambda it: _write(it, at, tokenizer, end_id), "part long, name string, records long, ids long, bytes long"), "files")
     # one row per file: the running sum is over a few numbers, however long the files are
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
