@@ -736,6 +736,57 @@ def test_repeated_rows_of_many_operators(spark, tokenizers):
     assert decontaminate.without_contaminated(docs.withColumn("score", F.lit("s")), item).where("score = 's'").count() == 2
 
 
+def test_header_names_that_differ_in_case(spark):
+    from causeway.llm.warc import resolve_revisits
+
+    old, new = {"Date": "1", "date": "2", "Link": None, "X": "a", "x": None}, {"ETag": "b", "etag": "c", "Y": None}
+    rows = [(1, "response", "http://a/", 1, None, None, None, old), (2, "revisit", "http://a/", 2, None, None, None, new), (None, None, None, None, None, None, None, None), (None, "revisit", None, None, None, None, None, None)]
+    got = {x.record_id: x for x in resolve_revisits(records(spark, rows)).collect()}
+    assert set(got) == {2, None} and got[None].outcome == "no_response" and got[2].outcome == "unverified"
+    assert got[2].headers == {"date": "1, 2", "link": None, "x": "a", "etag": "b, c", "y": None}
+
+
+def test_one_id_of_many_texts_is_many_files(spark, tokenizers, tmp_path):
+    from causeway.llm import token_files as f
+
+    path = tokenizers[1].path("byte_bpe_50k.json")
+    rows = [(i, t) for i in (None, 5) for t in [None, *(f"{k % 40:03d} text" + " w" * (k % 7) for k in range(200))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    at, files = f.write_files(docs, path, 0, f"file://{tmp_path}/t")
+    assert files.count() > 2 and files.agg(F.max("records")).first()[0] < 201  # ranges of one id too
+    plain, start = tokenizers[0].Tokenizer.from_file(path), 0
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1] or ""))
+    for (doc_id, t), r in zip(expected, sorted(f.read_summary(at, files).collect(), key=lambda r: r.start), strict=True):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_names_of_odd_characters(spark):
+    from causeway.llm import language, ngram_join, substring_dedup
+
+    docs = make_docs(spark, ["some words here " * 9, "other words there " * 9, None], True).withColumns({"a b.`c": F.lit("q"), "x.y": F.lit("r")})
+    for out, n in ((substring_dedup.remove_repeats(docs, 3), 3), (language.identify(docs), 3), (language.recognised(docs, least=0.0), 2), (ngram_join.without_near_copies(docs), 3)):
+        assert {"a b.`c", "x.y"} <= set(out.columns)
+        got = out.select(A.column("a b.`c").alias("q"), A.column("x.y").alias("r")).collect()
+        assert [tuple(x) for x in got] == [("q", "r")] * n
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [None, 4, None]), ("string", [None, "4", "5"]), ("short", [3, None, 4]), ("decimal(10,0)", [3, 4, 4]), ("date", [None, "2020-01-02", "2020-01-01"])])
+def test_item_ids_of_any_type(spark, kind, ids):
+    from causeway.llm.decontaminate import contaminated, without_contaminated
+
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, "a b " + text), (None, text), (2, "clean words only here"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None if i is None else str(i), text) for i in ids] + [(None, None), (None, "")], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    for item_bytes in (1 << 20, 150):
+        found = contaminated(docs, items, item_bytes=item_bytes)
+        assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
+        got = sorted(((x.doc_id, x.item_id, x.score) for x in found.collect()), key=str)
+        assert got == sorted(((d, i.item_id, 1.0) for d in (1, None) for i in items.where("text like 'w0%'").collect()), key=str)
+        assert sorted(x.doc_id for x in without_contaminated(docs, items, item_bytes=item_bytes).collect()) == [2, 3]
+
+
 # pipeline
 
 
