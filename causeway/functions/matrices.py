@@ -244,32 +244,49 @@ def two_sided(s: np.ndarray) -> np.ndarray:
     return np.concatenate([s, s[-2:0:-1].conj()])
 
 
+def _star(m: np.ndarray) -> np.ndarray:
+    return m.conj().transpose(0, 2, 1)
+
+
+def _wilson_start(full: np.ndarray, regularization: float) -> np.ndarray:
+    root = np.linalg.cholesky(full.mean(axis=0).real + regularization * np.eye(full.shape[1]))
+    return np.tile(root.astype(complex), (len(full), 1, 1))
+
+
+def _wilson_step(full: np.ndarray, psi: np.ndarray) -> np.ndarray:
+    """The next factor.
+
+    Coefficient ``half`` is lag half as well as lag -half: both sides get one half of it, as of lag 0. Without it no factor
+    of a spectrum with long memory gives the spectrum back, and the iteration stands still.
+    """
+    n, half = full.shape[1], len(full) // 2
+    back = np.linalg.inv(psi)
+    g = np.fft.ifft(back @ full @ _star(back) + np.eye(n), axis=0)
+    g[0] = np.tril(g[0])
+    g[0][np.diag_indices(n)] /= 2
+    g[half] /= 2
+    g[half + 1 :] = 0
+    return psi @ np.fft.fft(g, axis=0)
+
+
 def wilson(s: np.ndarray, most: int = 200, tolerance: float = 1e-5, regularization: float = 1e-8) -> dict:
     """Minimum-phase factorization of a one-sided spectrum (F, n, n) by Wilson's iteration (1972)."""
     if s.ndim != 3 or most < 1 or len(s) < 2:
         raise ValueError("a spectrum (frequency, n, n) and an iteration at least are needed")
     f, n, _ = s.shape
-    star = lambda m: m.conj().transpose(0, 2, 1)
-    full = two_sided((s + star(s)) / 2 + regularization * np.eye(n))
-    size = len(full)
-    root = np.linalg.cholesky(full.mean(axis=0).real + regularization * np.eye(n))
-    psi = np.tile(root.astype(complex), (size, 1, 1))
+    full = two_sided((s + _star(s)) / 2 + regularization * np.eye(n))
+    psi = _wilson_start(full, regularization)
     errors, converged = [], False
     for _ in range(most):
-        back = np.linalg.inv(psi)
-        g = np.fft.ifft(back @ full @ star(back) + np.eye(n), axis=0)
-        g[0] = np.tril(g[0])
-        g[0][np.diag_indices(n)] /= 2
-        g[size // 2 :] = 0
-        psi = psi @ np.fft.fft(g, axis=0)
-        again = psi @ star(psi)
+        psi = _wilson_step(full, psi)
+        again = psi @ _star(psi)
         errors.append(float((np.linalg.norm(full - again, axis=(1, 2)) / (np.linalg.norm(full, axis=(1, 2)) + 1e-12)).max()))
         if errors[-1] < tolerance:
             converged = True
             break
     r0 = np.fft.ifft(psi, axis=0)[0].real
-    h = psi @ np.linalg.inv(r0)
-    return {"transfer": h[:f], "covariance": r0 @ r0.T, "factor": psi[:f], "errors": errors, "converged": converged, "iterations": len(errors)}
+    h, covariance = psi @ np.linalg.inv(r0), r0 @ r0.T
+    return {"transfer": h[:f], "covariance": covariance, "factor": h[:f] @ np.linalg.cholesky(covariance), "errors": errors, "converged": converged, "iterations": len(errors)}
 
 
 def geweke_from_factor(s: np.ndarray, h: np.ndarray, sigma: np.ndarray, clip: bool = True) -> np.ndarray:
