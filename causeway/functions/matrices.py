@@ -248,45 +248,107 @@ def _star(m: np.ndarray) -> np.ndarray:
     return m.conj().transpose(0, 2, 1)
 
 
-def _wilson_start(full: np.ndarray, regularization: float) -> np.ndarray:
+def _finer(full: np.ndarray, size: int) -> np.ndarray:
+    """A spectrum around the circle at ``size`` points, by its own autocovariances."""
+    c, half = np.fft.ifft(full, axis=0), len(full) // 2
+    out = np.zeros((size, *full.shape[1:]), complex)
+    out[:half], out[size - half + 1 :] = c[:half], c[half + 1 :]
+    out[half] += c[half] / 2
+    out[size - half] += c[half] / 2
+    return np.fft.fft(out, axis=0)
+
+
+def _tail(full: np.ndarray) -> float:
+    """The largest coefficient in the half of the circle that is farthest from lag 0, as a share of the largest of all."""
+    size = np.linalg.norm(np.fft.ifft(full, axis=0), axis=(1, 2))
+    return float(size[len(size) // 4 : len(size) - len(size) // 4].max() / size.max())
+
+
+def _wilson_start(full: np.ndarray, regularization: float = 0.0) -> np.ndarray:
     root = np.linalg.cholesky(full.mean(axis=0).real + regularization * np.eye(full.shape[1]))
     return np.tile(root.astype(complex), (len(full), 1, 1))
 
 
-def _wilson_step(full: np.ndarray, psi: np.ndarray) -> np.ndarray:
-    """The next factor.
+def _wilson_step(full: np.ndarray, psi: np.ndarray) -> tuple[np.ndarray, float]:
+    """The next factor, and how far psi^-1 S psi^-* of this one is from the identity.
 
     Coefficient ``half`` is lag half as well as lag -half: both sides get one half of it, as of lag 0. Without it no factor
     of a spectrum with long memory gives the spectrum back, and the iteration stands still.
     """
     n, half = full.shape[1], len(full) // 2
     back = np.linalg.inv(psi)
-    g = np.fft.ifft(back @ full @ _star(back) + np.eye(n), axis=0)
+    g = back @ full @ _star(back)
+    gap = float(np.linalg.norm(g - np.eye(n), axis=(1, 2)).max())
+    g = np.fft.ifft(g + np.eye(n), axis=0)
     g[0] = np.tril(g[0])
     g[0][np.diag_indices(n)] /= 2
     g[half] /= 2
     g[half + 1 :] = 0
-    return psi @ np.fft.fft(g, axis=0)
+    return psi @ np.fft.fft(g, axis=0), gap
+
+
+def _wilson_smooth(full: np.ndarray, most: int, short: float = 1e-6, alias: float = 1e-8, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """Factor, its coefficient of lag 0 and steps taken, if the autocovariances of the spectrum or of its inverse end within the grid.
+
+    Those (of an autoregression the inverse's, however near to a unit root) say what the spectrum is between its points, so the iteration
+    may run on a grid that is fine enough for the factor's inverse, which has a long memory: ``cells`` numbers at most.
+    """
+    n = full.shape[1]
+    turned = np.linalg.inv(full).conj()
+    tails = _tail(full), _tail(turned)
+    inverse = tails[0] > max(tails[1], 1e-13)
+    if tails[inverse] > short:
+        return None
+    points = turned if inverse else full
+    size, best, steps = len(full), None, 0
+    while best is None or size * n * n <= cells:
+        fine = _finer(points, size) if size > len(full) else points
+        fine = (fine + _star(fine)) / 2
+        if not np.linalg.eigvalsh(fine).min() > 0:
+            break
+        psi, last = _wilson_start(fine), math.inf
+        for _ in range(most):
+            psi, gap = _wilson_step(fine, psi)
+            steps += 1
+            if gap < 1e-10 or last <= gap < 1e-3:
+                break
+            last = gap
+        best = psi
+        if max(_tail(psi), _tail(np.linalg.inv(psi))) < alias:
+            break
+        size *= 4
+    if best is None:
+        return None
+    r0 = np.fft.ifft(best, axis=0)[0].real
+    best = best[:: len(best) // len(full)]
+    return (np.linalg.inv(best.transpose(0, 2, 1)), np.linalg.inv(r0.T), steps) if inverse else (best, r0, steps)
 
 
 def wilson(s: np.ndarray, most: int = 200, tolerance: float = 1e-5, regularization: float = 1e-8) -> dict:
-    """Minimum-phase factorization of a one-sided spectrum (F, n, n) by Wilson's iteration (1972)."""
+    """Minimum-phase factorization of a one-sided spectrum (F, n, n) by Wilson's iteration (1972).
+
+    It starts from the factor on a finer grid where the spectrum tells what is between its points, else from a constant.
+    """
     if s.ndim != 3 or most < 1 or len(s) < 2:
         raise ValueError("a spectrum (frequency, n, n) and an iteration at least are needed")
     f, n, _ = s.shape
     full = two_sided((s + _star(s)) / 2 + regularization * np.eye(n))
-    psi = _wilson_start(full, regularization)
+    try:
+        start = _wilson_smooth(full, most)
+    except np.linalg.LinAlgError:  # singular to the last digit
+        start = None
+    psi, r0, steps = start or (_wilson_start(full, regularization), None, 0)
     errors, converged = [], False
     for _ in range(most):
-        psi = _wilson_step(full, psi)
+        psi, _ = _wilson_step(full, psi)
         again = psi @ _star(psi)
         errors.append(float((np.linalg.norm(full - again, axis=(1, 2)) / (np.linalg.norm(full, axis=(1, 2)) + 1e-12)).max()))
         if errors[-1] < tolerance:
             converged = True
             break
-    r0 = np.fft.ifft(psi, axis=0)[0].real
+    r0 = np.fft.ifft(psi, axis=0)[0].real if r0 is None else r0
     h, covariance = psi @ np.linalg.inv(r0), r0 @ r0.T
-    return {"transfer": h[:f], "covariance": covariance, "factor": h[:f] @ np.linalg.cholesky(covariance), "errors": errors, "converged": converged, "iterations": len(errors)}
+    return {"transfer": h[:f], "covariance": covariance, "factor": h[:f] @ np.linalg.cholesky(covariance), "errors": errors, "converged": converged, "iterations": steps + len(errors)}
 
 
 def geweke_from_factor(s: np.ndarray, h: np.ndarray, sigma: np.ndarray, clip: bool = True) -> np.ndarray:

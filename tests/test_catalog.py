@@ -38,6 +38,21 @@ def test_query_is_its_sql(spark, duck, name):
     assert all(p == pytest.approx(q, abs=2e-6) if not isinstance(p, str) else p == q for a, b in zip(*rows) for p, q in zip(a, b))
 
 
+LARGE = "/root/testdata/sf0.1"  # its hourly sums have a root of 0.966
+FACTORED = ["factorized_gc"]
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="the shared tables are not here")
+@pytest.mark.parametrize("name", FACTORED)
+def test_factorization_is_its_sql_at_long_memory(spark, name):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{LARGE}/events.parquet')")
+    mine, other = entry.queries()[name](spark, LARGE).toPandas(), c.execute(entry.oracle_sql()[name]).df()
+    keys = [k for k in ("series_id", "f_idx", "row", "col") if k in mine]
+    mine, other = (d.sort_values(keys)[sorted(d.columns)].reset_index(drop=True) for d in (mine, other))
+    assert len(mine) > 0 and mine.equals(other.astype(mine.dtypes))
+
+
 @pytest.mark.parametrize("name", ["em_ssm", "em_ssm_known_c"])
 def test_em_runs_until_it_stops_by_itself(spark, name):
     for r in entry.queries()[name](spark, DATA).collect():
