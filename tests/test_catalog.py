@@ -39,7 +39,7 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 LARGE = "/root/testdata/sf0.1"  # its hourly sums have a root of 0.966
-FACTORED = ["factorized_gc", "reconstruct_from_factor", "reconstruct_from_transfer"]
+FACTORED = ["factorized_gc", "reconstruct_from_factor", "reconstruct_from_transfer", "wilson_covariance"]
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="the shared tables are not here")
