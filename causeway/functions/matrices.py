@@ -272,19 +272,20 @@ def _wilson_start(full: np.ndarray, regularization: float = 0.0) -> np.ndarray:
 def _wilson_step(full: np.ndarray, psi: np.ndarray) -> tuple[np.ndarray, float]:
     """The next factor, and how far psi^-1 S psi^-* of this one is from the identity.
 
+    What is added comes from S - psi psi*: the step then loses no more than a rounding of S, while psi^-1 S psi^-* itself loses its condition's digits.
     Coefficient ``half`` is lag half as well as lag -half: both sides get one half of it, as of lag 0. Without it no factor
     of a spectrum with long memory gives the spectrum back, and the iteration stands still.
     """
     n, half = full.shape[1], len(full) // 2
     back = np.linalg.inv(psi)
-    g = back @ full @ _star(back)
-    gap = float(np.linalg.norm(g - np.eye(n), axis=(1, 2)).max())
-    g = np.fft.ifft(g + np.eye(n), axis=0)
+    g = back @ (full - psi @ _star(psi)) @ _star(back)
+    gap = float(np.linalg.norm(g, axis=(1, 2)).max())
+    g = np.fft.ifft(g, axis=0)
     g[0] = np.tril(g[0])
     g[0][np.diag_indices(n)] /= 2
     g[half] /= 2
     g[half + 1 :] = 0
-    return psi @ np.fft.fft(g, axis=0), gap
+    return psi + psi @ np.fft.fft(g, axis=0), gap
 
 
 def _wilson_smooth(full: np.ndarray, most: int, short: float = 1e-6, alias: float = 1e-8, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, int] | None:

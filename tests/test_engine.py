@@ -313,6 +313,12 @@ def test_wilson_of_long_memory_gives_the_spectrum_back(spark):
     assert len(w) == 516 and w.converged.all() and w.error.max() < 1e-5
 
 
+def test_factor_gives_a_near_unit_spectrum_back_to_its_last_digits(spark):
+    s = spectral.spectral_densities(near_unit(spark), 2, 129)
+    back = spectral.reconstruct_from_factor(spectral.wilson_factor(s, 200, 1e-11, 1e-12))
+    assert spectral.max_relative_error(s, back).first().error < 5e-14
+
+
 def test_causality_of_a_factor_is_the_models_at_a_near_unit_root(spark):
     m = near_unit(spark)
     s = spectral.spectral_densities(m, 2, 129)
