@@ -319,6 +319,12 @@ def test_factor_gives_a_near_unit_spectrum_back_to_its_last_digits(spark):
     assert spectral.max_relative_error(s, back).first().error < 5e-14
 
 
+def test_transfer_and_covariance_give_a_near_unit_spectrum_back_to_its_last_digits(spark):
+    s = spectral.spectral_densities(near_unit(spark), 2, 129)
+    back = spectral.reconstruct_from_transfer(spectral.wilson_factor(s, 200, 1e-11, 1e-12))
+    assert spectral.max_relative_error(s, back).first().error < 5e-14
+
+
 def test_causality_of_a_factor_is_the_models_at_a_near_unit_root(spark):
     m = near_unit(spark)
     s = spectral.spectral_densities(m, 2, 129)
